@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscout.llm import substring_dedup
+from tabscout.llm import decontamination, simhash_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    names = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup.components(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -20,6 +31,24 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Words of a text, in DuckDB.
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_NORMAL = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP1_SQL = f"""
+WITH b AS (SELECT item_id, {_NORMAL} AS w FROM benchmark),
+i AS (SELECT item_id, least(len(w), 10) AS k, w FROM b WHERE len(w) > 0),
+j AS (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS s FROM i),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS seq FROM j),
+d AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
+e AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM i)),
+m AS (SELECT e.doc_id, e.s, e.k, iw.item_id FROM e JOIN iw ON e.k = iw.k AND array_to_string(e.w[e.s:e.s + e.k - 1], ' ') = iw.seq),
+h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n, string_agg(v, ',' ORDER BY v) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS v FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(g.n, 0) AS BIGINT) AS n_items,
+sha256(coalesce(g.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
 OP9_SQL = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
@@ -32,5 +61,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(g.n_removed,
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup}
-ORACLES = {"op9_substring_dedup": OP9_SQL}
+QUERIES = {"op1_decontamination": op1_decontamination, "op6_simhash_dedup": op6_simhash_dedup, "op9_substring_dedup": op9_substring_dedup}
+ORACLES = {"op1_decontamination": OP1_SQL, "op9_substring_dedup": OP9_SQL}
