@@ -97,12 +97,17 @@ def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return begin + np.arange(len(begin)), counts
 
 
-def window_hashes(words: np.ndarray, starts: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
-    """A mixed 64-bit hash of `width` consecutive word hashes from each start."""
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = WORD_BASE) -> np.ndarray:
+    """A mixed 64-bit hash of each sequence of word hashes from a start to an end."""
     power, inverse = _powers(base, len(words))
     sums = np.zeros(len(words) + 1, _U)
     np.cumsum(words * power[: len(words)], out=sums[1:])
-    return mixed((sums[starts + width] - sums[starts]) * inverse[starts])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def window_hashes(words: np.ndarray, starts: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
+    """A mixed 64-bit hash of `width` consecutive word hashes from each start."""
+    return sequence_hashes(words, starts, starts + width, base)
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscout.llm import decontamination, simhash_dedup, substring_dedup
+from tabscout.llm import decontamination, quality_classifier, quality_rules, simhash_dedup, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,22 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(quality_classifier.crc(), F.lit(4)) == 2
+    out = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(quality_classifier.crc(), F.lit(5)) == 0
+    out = quality_classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -61,5 +77,30 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(g.n_removed,
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op6_simhash_dedup": op6_simhash_dedup, "op9_substring_dedup": op9_substring_dedup}
-ORACLES = {"op1_decontamination": OP1_SQL, "op9_substring_dedup": OP9_SQL}
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, {WORDS} AS w FROM d),
+x AS (SELECT r, w[i:i + 2] AS seq, i FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+y AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, seq) AS n FROM x) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM y) GROUP BY r),
+l AS (SELECT r, host, line, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '') AS lw FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d)),
+ll AS (SELECT r, host, line, len(lw) AS n, regexp_replace(translate(array_to_string(lw, ' '), '{_UPPER}', '{_LOWER}'), '[0-9]', '0', 'g') AS norm FROM l WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM ll GROUP BY r),
+t AS (SELECT host, text, min(r) AS r FROM d GROUP BY host, text),
+h AS (SELECT host, count(*) AS n FROM t GROUP BY host),
+o AS (SELECT ll.host, ll.norm, count(DISTINCT ll.r) AS n FROM ll JOIN t USING (r) GROUP BY ll.host, ll.norm),
+often AS (SELECT o.host, o.norm FROM o JOIN h USING (host) WHERE o.n > {quality_rules.MOST_DOCUMENTS} AND o.n > h.n * {quality_rules.MOST_SHARE}),
+gone AS (SELECT r, sum(n) AS n FROM ll JOIN often USING (host, norm) GROUP BY r),
+a AS (SELECT d.r, d.doc_id, len(w.w) AS n_words, coalesce(list_sum(list_transform(w.w, lambda v: length(v))), 0) AS word_chars,
+  length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(dup.n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words, len(w.w) - coalesce(gone.n, 0) AS words_left
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
+b AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words AS base_failed FROM a)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(words_left AS BIGINT) AS words_left, base_failed,
+NOT (base_failed OR n_symbols > {quality_rules.MOST_SYMBOLS} * word_chars OR n_dup_lines > {quality_rules.MOST_DUPLICATE_LINES} * n_lines
+  OR words_left < {quality_rules.LEAST_LEFT} * n_words OR words_left < {quality_rules.LEAST_WORDS_LEFT}) AS kept
+FROM b
+"""
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op6_simhash_dedup": op6_simhash_dedup, "op7_toxicity": op7_toxicity, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_quality_classifier": op10_quality_classifier}
+ORACLES = {"op1_decontamination": OP1_SQL, "op8_quality_rules": OP8_SQL, "op9_substring_dedup": OP9_SQL}

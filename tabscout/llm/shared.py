@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel takes at once; a longer text is taken alone.
 PIECE_BYTES = 1 << 20
@@ -33,6 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def within(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, to be broadcast if it has at most `rows` rows: counted now, so give a written table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def rows_of(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A DataFrame of a few rows that the driver made."""
     return spark.createDataFrame(list(rows), schema)
