@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 1. Terms. Words (lower-cased, ASCII letters and digits and all other characters) and their beginnings
-   of 5, 6 and 7 bytes are counted by label in a bounded sample of labelled rows; the `TERMS` with the
-   highest chi-square are the vocabulary. Whole texts of all rows give term counts, and the document
+   of 5, 6 and 7 bytes, each also as "at least 2, 4 or 8 times in the text", are counted by label in a
+   bounded sample of labelled rows; the `TERMS` with the highest chi-square are the vocabulary. Whole texts of all rows give term counts, and the document
    frequencies behind the weights are counted over all rows.
 2. Index. The sample's TF-IDF vectors are the examples, sorted so that alike ones share a block. For
    each term a block keeps its postings and their largest weight, which bounds the cosine that any of its
@@ -35,6 +35,8 @@ EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 3000, 512, 16, 64
 LEAST_DOCUMENTS, LEAST_CHI = 4, 20.0
 #: Beginnings of words, in bytes.
 STEMS = (5, 6, 7)
+#: A word or beginning is a term of its own for each of these numbers of occurrences that a text reaches.
+LEVELS = (1, 2, 4, 8)
 #: Queries of one search, and cosines within which neighbours are tied.
 QUERIES, TIE = 256, 1e-5
 #: Share of score from which a text is called toxic.
@@ -54,6 +56,12 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(hashes), np.concatenate(owners)
 
 
+def _levelled(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the keys that reach each level, and the level's number."""
+    reached = [np.flatnonzero(n >= least) for least in LEVELS]
+    return np.concatenate(reached), np.repeat(np.arange(len(LEVELS)), [len(x) for x in reached])
+
+
 def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each batch of labelled texts: terms, texts that have them, and toxic ones of these."""
     for batch in batches:
@@ -62,35 +70,45 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             h, owner = terms_of(data, offsets)
             order = np.lexsort((owner, h))
             h, owner = h[order], owner[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            found.append(h[new])
-            toxic.append(labels[lo + owner[new]])
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
+            h, owner, n = h[new], owner[new], np.diff(np.append(new, len(h)))
+            at, level = _levelled(h, n)
+            found.append(np.stack([h[at].view(np.int64), level]))
+            toxic.append(labels[lo + owner[at]])
         if not found:
             continue
-        h, y = np.concatenate(found), np.concatenate(toxic)
-        term, where = np.unique(h, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.bincount(where, minlength=len(term))), pa.array(np.bincount(where, y, len(term)))], names=["term", "n", "toxic"])
+        keys, y = np.concatenate(found, axis=1), np.concatenate(toxic)
+        term, where = np.unique(keys, axis=1, return_inverse=True)
+        n = term.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(term[0]), pa.array(term[1], pa.int32()), pa.array(np.bincount(where.ravel(), minlength=n)), pa.array(np.bincount(where.ravel(), y, n))], names=["term", "level", "n", "toxic"])
 
 
-def _vectorise(vocabulary: np.ndarray):
+def _vectorise(vocabulary: list[tuple[int, int]]):
     """Rows (doc_id, terms, counts): numbers of the vocabulary's terms that a text has, ascending, and how often."""
+    words = np.unique(np.array([t for t, _ in vocabulary], np.int64).view(np.uint64))
+    number = np.full((max(len(words), 1), len(LEVELS)), -1)
+    for k, (t, level) in enumerate(vocabulary):
+        number[np.searchsorted(words, np.array([t], np.int64).view(np.uint64))[0], level] = k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, counts, sizes = [], [], []
             for lo, hi, data, offsets in text_pieces(batch.column(1)):
                 key = np.zeros(0, np.int64)
-                if len(vocabulary):
+                if len(words):
                     h, owner = terms_of(data, offsets)
-                    at = np.searchsorted(vocabulary, h)
-                    at[at == len(vocabulary)] = 0
-                    known = vocabulary[at] == h
-                    key = owner[known] * len(vocabulary) + at[known]
+                    at = np.searchsorted(words, h)
+                    at[at == len(words)] = 0
+                    known = words[at] == h
+                    key = owner[known] * len(words) + at[known]
                 key, n = np.unique(key, return_counts=True)
-                terms.append(key % max(len(vocabulary), 1))
-                counts.append(n)
-                sizes.append(np.bincount(key // max(len(vocabulary), 1), minlength=hi - lo))
+                at, level = _levelled(key, n)
+                owner, term, n = key[at] // max(len(words), 1), number[key[at] % max(len(words), 1), level], n[at]
+                order = np.lexsort((term, owner))
+                order = order[term[order] >= 0]
+                terms.append(term[order])
+                counts.append(n[order])
+                sizes.append(np.bincount(owner[order], minlength=hi - lo))
             if not terms:
                 continue
             edges = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
@@ -219,18 +237,19 @@ def _sample(train: DataFrame) -> tuple[DataFrame, dict[float, float]]:
     return train.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < limit * (1 << 20)), {k: 1 / s for k, s in share.items()}
 
 
-def _vocabulary(sampled: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms that tell the labels apart best."""
+def _vocabulary(sampled: DataFrame) -> list[tuple[int, int]]:
+    """The terms (hash, level) that tell the labels apart best, in ascending order."""
     total = sampled.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, toxic = float(total["n"]), float(total["toxic"] or 0)
     if not 0 < toxic < n:
-        return np.zeros(0, np.uint64)
-    counts = sampled.select("text", "label").mapInArrow(_distinct_terms, "term long, n long, toxic double").groupBy("term").agg(F.sum("n").cast("double").alias("n"), F.sum("toxic").alias("t"))
+        return []
+    counts = sampled.select("text", "label").mapInArrow(_distinct_terms, "term long, level int, n long, toxic double")
+    counts = counts.groupBy("term", "level").agg(F.sum("n").cast("double").alias("n"), F.sum("toxic").alias("t"))
     a, b = F.col("t"), F.col("n") - F.col("t")  # toxic texts with the term, others with it
     c, d = F.lit(toxic) - a, F.lit(n - toxic) - b  # and those without
     chi = F.pow(a * d - b * c, 2) * n / ((a + b) * toxic * (n - toxic) * (c + d + 1))
-    best = counts.where(F.col("n") >= LEAST_DOCUMENTS).select("term", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS)
-    return np.sort(np.array([r["term"] for r in best.collect()], np.int64).view(np.uint64))
+    good = counts.where(F.col("n") >= LEAST_DOCUMENTS).select("term", "level", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI)
+    return sorted((r["term"], r["level"]) for r in good.orderBy(F.desc("chi"), "term", "level").limit(TERMS).collect())
 
 
 def scores(docs: DataFrame, labels: DataFrame, learn: Column, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
