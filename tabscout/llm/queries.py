@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscout.llm import chat, decontamination, mixing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, toxicity, warc
+from tabscout.llm import chat, decontamination, mixing, pii, quality_classifier, quality_rules, simhash_dedup, substring_dedup, toxicity, warc
 
 from tabscout.llm.shared import written
 
@@ -20,6 +20,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("__spans")
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(pii.base(spans)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = written(warc.bundles(table(spark, sf_dir, "pages")), "bundles")
     out = warc.records(archives)
@@ -149,5 +156,5 @@ NOT (base_failed OR n_symbols > {quality_rules.MOST_SYMBOLS} * word_chars OR n_d
 FROM b
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_mixing": op5_mixing, "op6_simhash_dedup": op6_simhash_dedup, "op7_toxicity": op7_toxicity, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_pii": op2_pii, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_mixing": op5_mixing, "op6_simhash_dedup": op6_simhash_dedup, "op7_toxicity": op7_toxicity, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_quality_classifier": op10_quality_classifier}
 ORACLES = {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_substring_dedup": OP9_SQL}
