@@ -2,7 +2,8 @@
 
 1. Terms. Words (lower-cased, ASCII letters and digits and all other characters) and their beginnings
    of 5, 6 and 7 bytes, each also as "at least 2, 4 or 8 times in the text", are counted by label in a
-   bounded sample of labelled rows; the `TERMS` with the highest chi-square are the vocabulary. Whole texts of all rows give term counts, and the document
+   bounded sample of labelled rows, in which copies and near copies of a text count once; the `TERMS`
+   with the highest chi-square are the vocabulary. Whole texts of all rows give term counts, and the document
    frequencies behind the weights are counted over all rows.
 2. Index. The sample's TF-IDF vectors are the examples, sorted so that alike ones share a block. For
    each term a block keeps its postings and their largest weight, which bounds the cosine that any of its
@@ -32,13 +33,17 @@ from tabscout.llm.shared import text_pieces, written
 #: Most examples of each label in the sample, terms of the vocabulary, neighbours, examples of a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 3000, 512, 16, 64
 #: Least documents of the sample that have a term, and least chi-square of a term.
-LEAST_DOCUMENTS, LEAST_CHI = 4, 20.0
+LEAST_DOCUMENTS, LEAST_CHI = 4, 30.0
 #: Beginnings of words, in bytes.
 STEMS = (5, 6, 7)
 #: A word or beginning is a term of its own for each of these numbers of occurrences that a text reaches.
 LEVELS = (1, 2, 4, 8)
+#: Min-hashes by which near copies in the sample are told.
+SKETCHES = 3
 #: Queries of one search, and cosines within which neighbours are tied.
 QUERIES, TIE = 256, 1e-5
+#: Nearest examples that are given as evidence.
+EVIDENCE = 3
 #: Share of score from which a text is called toxic.
 THRESHOLD = 0.3
 
@@ -56,6 +61,37 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(hashes), np.concatenate(owners)
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (doc_id, text, label) with SKETCHES min-hashes of their 3-word windows (or of the words, if fewer)."""
+    for batch in batches:
+        sketches = []
+        for lo, hi, data, offsets in text_pieces(batch.column(1)):
+            starts, ends, first = K.spans(data, offsets, K.SOLID)
+            words = K.span_hashes(K.span_sums(data), starts, ends)
+            at, counts = K.window_starts(first, 3)
+            short = np.repeat((counts == 0), np.diff(first))
+            owner = np.concatenate([np.repeat(np.arange(hi - lo), counts), np.repeat(np.arange(hi - lo), np.diff(first))[short]])
+            values = np.concatenate([K.window_hashes(words, at, 3), words[short]])
+            rows = np.zeros((hi - lo, SKETCHES), np.uint64)
+            rows[owner] = np.iinfo(np.uint64).max
+            for k in range(SKETCHES):
+                np.minimum.at(rows[:, k], owner, K.mixed(values + np.uint64(k * 7919 + 1)))
+            sketches.append(rows)
+        if sketches:
+            flat = np.concatenate(sketches).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(flat[:, k]) for k in range(SKETCHES))], names=[*batch.schema.names, *(f"sketch{k}" for k in range(SKETCHES))])
+
+
+def _without_copies(sampled: DataFrame) -> DataFrame:
+    """The sampled rows less those that share a min-hash with a row of smaller id."""
+    names = [f"sketch{k}" for k in range(SKETCHES)]
+    rows = sampled.select("doc_id", "text", "label").mapInArrow(_sketched, "doc_id long, text string, label double, " + ", ".join(f"{k} long" for k in names))
+    rows = written(rows, "sketched")
+    for name in names:
+        rows = rows.join(rows.groupBy(name).agg(F.min("doc_id").alias("__least")), name).where("doc_id = __least").drop("__least")
+    return rows.select("doc_id", "text", "label")
+
+
 def _levelled(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the keys that reach each level, and the level's number."""
     reached = [np.flatnonzero(n >= least) for least in LEVELS]
@@ -145,16 +181,16 @@ class BlockMaxIndex:
         norm = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
         return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
-    def cosines(self, queries: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """For each query: cosines of all examples that can be among the k nearest, -1 for others.
+    def cosines(self, queries: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query: cosines of all examples that can be among the k nearest, -1 for others; and the k-th best.
 
         own: the index of the example that each query is, which does not count.
         """
-        n, k = len(queries), min(NEIGHBOURS, max(len(self.ids) - (own is not None), 1))
-        out = np.full((n, len(self.ids)), -1, np.float32)
-        if not len(self.ids):
-            return out
-        bound, done, best = queries @ self.largest.T, np.zeros((n, len(self.postings)), bool), np.full(n, -1, np.float32)
+        n, k = len(queries), min(NEIGHBOURS, len(self.ids))
+        out, best = np.full((n, len(self.ids)), -1, np.float32), np.full((n, k), -1, np.float32)
+        if not k:
+            return out, np.zeros(n, np.float32)
+        bound, done = queries @ self.largest.T, np.zeros((n, len(self.postings)), bool)
 
         def take(block: int, rows: np.ndarray) -> None:
             a, b = self.edges[block], self.edges[block + 1]
@@ -164,40 +200,29 @@ class BlockMaxIndex:
             if own is not None:
                 mine = rows[(own[rows] >= a) & (own[rows] < b)]
                 out[mine, own[mine]] = -1
-
-        def kth(rows: np.ndarray) -> None:
-            best[rows] = np.partition(out[rows], out.shape[1] - k, axis=1)[:, out.shape[1] - k]
+            best[rows] = np.partition(np.hstack([best[rows], out[rows, a:b]]), b - a, axis=1)[:, b - a :]
 
         for block in np.unique(first := bound.argmax(axis=1)):
             take(block, np.flatnonzero(first == block))
-        kth(np.arange(n))
         for block in np.argsort(-bound.max(axis=0)):
-            rows = np.flatnonzero((bound[:, block] >= best - TIE) & (bound[:, block] > 0) & ~done[:, block])
+            rows = np.flatnonzero((bound[:, block] >= best.min(axis=1) - TIE) & (bound[:, block] > 0) & ~done[:, block])
             if len(rows):
                 take(block, rows)
-                kth(rows)
-        return out
-
-    def votes(self, queries: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Share of toxic neighbours, by weight (-1 where there is none), and all cosines found."""
-        cosines = self.cosines(queries, own)
-        if not cosines.shape[1]:
-            return np.full(len(queries), -1.0), cosines
-        k = min(NEIGHBOURS, cosines.shape[1])
-        least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, cosines.shape[1] - k]
-        near = (cosines >= least[:, None] - TIE) & (cosines > 0)
-        weight = np.where(near, 1 / (1.05 - np.minimum(cosines, 1).round(5).astype(np.float64)), 0)
-        total = weight.sum(axis=1)
-        return np.where(total > 0, weight @ self.labels / np.where(total > 0, total, 1), -1.0), cosines
-
-    def evidence(self, cosines: np.ndarray, most: int = 3) -> list[list[int]]:
-        """Ids of the nearest examples, nearest first, ties by id."""
-        out = []
-        for row in cosines:
-            at = np.flatnonzero(row > 0)
-            near = at[np.lexsort((self.ids[at], -row[at].round(5)))][:most]
-            out.append(self.ids[near].tolist())
-        return out
+        return out, best.min(axis=1)
+
+    def neighbours(self, queries: np.ndarray, own: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query: examples and cosines of its k nearest and all tied with the k-th, nearest first, ties by id."""
+        cosines, kth = self.cosines(queries, own)
+        rows, at = np.nonzero((cosines >= kth[:, None] - TIE) & (cosines > 0))
+        near = np.minimum(cosines[rows, at], 1).round(5)
+        order = np.lexsort((self.ids[at], -near, rows))
+        edges = np.searchsorted(rows, np.arange(len(queries) + 1))
+        return [(at[order[a:b]], near[order[a:b]].astype(np.float64)) for a, b in zip(edges[:-1], edges[1:])]
+
+    def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
+        """Share of toxic neighbours, by weight; -1 without any."""
+        weight = 1 / (1.05 - cosines)
+        return float(weight @ self.labels[at] / weight.sum()) if len(at) else -1.0
 
 
 def _scorer(index: BlockMaxIndex, calibrated: Isotonic, alone: float):
@@ -220,9 +245,10 @@ def _scorer(index: BlockMaxIndex, calibrated: Isotonic, alone: float):
             for lo in range(0, len(firsts), QUERIES):
                 part = firsts[lo : lo + QUERIES]
                 queries = index.vectors([terms[edges[k] : edges[k + 1]] for k in part], [counts[edges[k] : edges[k + 1]] for k in part])
-                vote, cosines = index.votes(queries)
+                near = index.neighbours(queries)
+                vote = np.array([index.vote(*x) for x in near])
                 score.append(np.where(vote < 0, alone, calibrated(vote)))
-                evidence += index.evidence(cosines)
+                evidence += [index.ids[at[:EVIDENCE]].tolist() for at, _ in near]
             score = np.concatenate(score) if score else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score[which]), pa.array([evidence[k] for k in which], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
@@ -266,18 +292,19 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, label_column: str
     sample, stands_for = _sample(train)
     sample = written(sample, "sample")
     sampled = rows.join(F.broadcast(sample), "doc_id")  # at most about 2 * EXAMPLES ids
-    vocabulary = _vocabulary(written(sampled, "sampled"))
+    sampled = written(_without_copies(sampled), "sampled")
+    vocabulary = _vocabulary(sampled)
     vectors = written(rows.mapInArrow(_vectorise(vocabulary), "doc_id long, terms array<int>, counts array<int>"), "vectors")
     n = vectors.count()
     frequency = np.zeros(len(vocabulary))
     for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
         frequency[r["term"]] = r["count"]
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    examples = vectors.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()
+    examples = vectors.join(F.broadcast(sampled.select("doc_id", "label").dropDuplicates(["doc_id"])), "doc_id").dropDuplicates(["doc_id"]).collect()
     examples.sort(key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in examples])
     index = BlockMaxIndex(idf, [np.array(r["terms"], int) for r in examples], [np.array(r["counts"], int) for r in examples], np.array([r["doc_id"] for r in examples], np.int64), y)
-    vote = np.concatenate([np.zeros(0), *(index.votes(index.weights[a : a + QUERIES], np.arange(a, min(a + QUERIES, len(y))))[0] for a in range(0, len(y), QUERIES))])
+    vote = np.array([index.vote(*x) for a in range(0, len(y), QUERIES) for x in index.neighbours(index.weights[a : a + QUERIES], np.arange(a, min(a + QUERIES, len(y))))])
     weight = np.array([stands_for[k] for k in index.labels.tolist()])
     near = vote >= 0
     share = float(np.average(index.labels, weights=weight)) if len(y) else 0.0
