@@ -7,6 +7,9 @@ Within a cell, fingerprints are sorted by population count into tiles, and tile
 exclusive-or and bit count unless their population counts differ beyond the radius. The blocks chosen
 only bound the work: every pair within the radius shares a cell, so no link is lost.
 
+For a similarity of sets of shingles, as near-dup stages take it, 64 bits are too few: similar() uses
+64 * WORDS bits over the distinct shingles, and classes of set size as cells.
+
 A cell of more than `CELL` fingerprints is dealt into a triangle of sub-cells, so none is unbounded. A
 cell answers with one edge to its component's smallest member for each linked fingerprint, never with
 all pairs.
@@ -14,6 +17,7 @@ all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,6 +34,8 @@ from tabscout.llm.shared import text_pieces, written
 SEED = 42
 #: Fingerprints of one tile, and of one cell before it is split.
 TILE, CELL = 1024, 8192
+#: The same for wide fingerprints, their words, and standard deviations added to their radius.
+WIDE_CELL, WORDS, MARGIN = 32_768, 16, 2.0
 #: Rows of one task's cells aimed at.
 SHARD_ROWS = 200_000
 #: Up to so many distinct fingerprints radius + 1 blocks are used; then one more for every factor of 256.
@@ -103,11 +109,14 @@ def _cells(radius: int, distinct: int) -> Column:
 
 
 def linked(values: np.ndarray, radius: int, side: np.ndarray | None = None) -> np.ndarray:
-    """For each distinct fingerprint: the index of its component's smallest member, by pairs within the radius.
+    """For each fingerprint (a row of words): the index of the first member of its component, by pairs within the radius.
 
-    side: compare only those of different sides (sides are compared among themselves elsewhere).
+    side: compare only those of different sides (sides are compared among themselves elsewhere). Of wide
+    fingerprints all words are compared where the first two leave a chance: a pair within the radius
+    differs there in more than `lead` bits with a probability under 1e-8.
     """
-    ones = np.bitwise_count(values).astype(np.int16)
+    lead = radius if values.shape[1] <= 2 else 2 * radius / values.shape[1] + 6 * math.sqrt(2 * radius / values.shape[1])
+    ones = np.bitwise_count(values).sum(axis=1, dtype=np.int64)
     order = np.argsort(ones, kind="stable")
     v, ones = values[order], ones[order]
     side = None if side is None else side[order]
@@ -117,57 +126,73 @@ def linked(values: np.ndarray, radius: int, side: np.ndarray | None = None) -> n
         for j in range(i, len(v), TILE):
             if ones[j] - ones[min(i + TILE, len(v)) - 1] > radius:
                 break
-            near = np.bitwise_count(a[:, None] ^ v[None, j : j + TILE]) <= radius
+            b = v[j : j + TILE]
+            apart = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+            if v.shape[1] > 1:
+                apart += np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+            row, column = np.nonzero(apart <= lead)
+            other = column + j > row + i
             if side is not None:
-                near &= side[i : i + TILE, None] != side[None, j : j + TILE]
-            elif i == j:
-                np.fill_diagonal(near, False)
-            for row in np.flatnonzero(near.any(axis=1)):
-                roots = np.unique(np.append(label[j + np.flatnonzero(near[row])], label[i + row]))
-                for other in roots[1:]:
-                    label[label == other] = roots[0]
-    least = np.full(len(v), np.iinfo(np.int64).max)
-    np.minimum.at(least, label, v.view(np.int64))
+                other &= side[row + i] != side[column + j]
+            row, column = row[other], column[other]
+            if v.shape[1] > 2 and len(row):
+                rest = np.bitwise_count(a[row, 2:] ^ b[column, 2:]).sum(axis=1, dtype=np.int64)
+                near = apart[row, column] + rest <= radius
+                row, column = row[near], column[near]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]]) if len(row) else [0]
+            for x, y in zip(edges[:-1], edges[1:]):
+                roots = np.unique(np.append(label[j + column[x:y]], label[i + row[x]]))
+                for root in roots[1:]:
+                    label[label == root] = roots[0]
+    first = np.full(len(v), len(v))
+    np.minimum.at(first, label, order)
     out = np.empty(len(v), np.int64)
-    out[order] = least[label]
+    out[order] = first[label]
     return out
 
 
-def _comparer(radius: int):
+def _comparer(radius: int, words: list[str]):
     def compare(table: pa.Table) -> pa.Table:
-        choice, bits, i, j, tile, value = (table.column(c).to_numpy() for c in ("choice", "bits", "i", "j", "tile", "fingerprint"))
-        order = np.lexsort((j, i, bits, choice))
+        choice, bits, i, j, tile, node = (table.column(c).to_numpy() for c in ("choice", "bits", "i", "j", "tile", "node"))
+        order = np.lexsort((node, j, i, bits, choice))
         key = np.stack([choice[order], bits[order], i[order], j[order]])
-        value, tile = value[order].view(np.uint64), tile[order]
+        value = np.stack([table.column(w).to_numpy()[order] for w in words], axis=1).view(np.uint64)
+        node, tile = node[order], tile[order]
         edges = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(value)]])
         u, v = [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b - a > 1:
-                own = value[a:b].view(np.int64)
                 root = linked(value[a:b], radius, None if key[2, a] == key[3, a] else tile[a:b])
-                hung = root != own
-                u.append(own[hung])
-                v.append(root[hung])
+                hung = root != np.arange(b - a)
+                u.append(node[a:b][hung])
+                v.append(node[a:b][root[hung]])
         return pa.table({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
 
     return compare
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of fingerprints within the radius.
+def links(keyed: DataFrame, words: list[str], radius: int, cell: int, shards: int) -> DataFrame:
+    """Edges (u, v) of nodes whose components are those of all pairs within the radius that share a cell.
 
-    `distinct` has each fingerprint once, as a long.
+    `keyed` has the cell (choice, bits), node and the words of its fingerprint, once for each cell of a node.
+    Cells of more than `cell` nodes are dealt into a triangle of sub-cells.
     """
-    n = distinct.count()
-    keyed = distinct.select("fingerprint", F.explode(_cells(radius, n)).alias("c")).select("fingerprint", "c.choice", "c.bits")
-    large = keyed.groupBy("choice", "bits").count().where(F.col("count") > CELL).withColumn("parts", F.ceil(F.col("count") / CELL).cast("int")).drop("count")
+    large = keyed.groupBy("choice", "bits").count().where(F.col("count") > cell).withColumn("parts", F.ceil(F.col("count") / cell).cast("int")).drop("count")
     placed = keyed.join(large, ["choice", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = spread.select("choice", "bits", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fingerprint")
-    shards = max(16, n * (radius + 1) // SHARD_ROWS)
+    cells = spread.select("choice", "bits", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", *words)
     cells = cells.withColumn("shard", F.pmod(F.xxhash64("choice", "bits", "i", "j"), F.lit(shards)).cast("int"))
-    return cells.groupBy("shard").applyInArrow(_comparer(radius), "u long, v long")
+    return cells.groupBy("shard").applyInArrow(_comparer(radius, words), "u long, v long")
+
+
+def _named(prints: DataFrame, first: DataFrame, edges: DataFrame) -> DataFrame:
+    """`prints` with component_id, the smallest id of a node's component; `first` has each node's smallest, `least`."""
+    hung = stars(edges)
+    labelled = first.select("node", "least").join(hung.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    labelled = labelled.withColumn("root", F.coalesce("root", "node"))
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(labelled.join(smallest, "root").select("node", "component_id"), "node")
 
 
 def components(docs: DataFrame, width: int = 4, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -181,21 +206,75 @@ def components(docs: DataFrame, width: int = 4, radius: int = 4, id_column: str
     the smallest is sought; a component of nothing else has a null component_id. Repeated rows each give
     a row. An empty table gives no rows. Other columns of `docs` are not read.
     """
-    prints = written(fingerprints(docs, width, id_column, text_column), "fingerprints")
-    first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    hung = stars(links(first.select("fingerprint"), radius))
-    labelled = first.join(hung.select(F.col("u").alias("fingerprint"), F.col("v").alias("root")), "fingerprint", "left")
-    labelled = labelled.withColumn("root", F.coalesce("root", "fingerprint"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    prints = written(fingerprints(docs, width, id_column, text_column), "fingerprints").withColumn("node", F.col("fingerprint"))
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    n = first.count()
+    keyed = first.select("node", F.col("node").alias("fingerprint")).select("*", F.explode(_cells(radius, n)).alias("c")).select("node", "fingerprint", "c.choice", "c.bits")
+    edges = links(keyed, ["fingerprint"], radius, CELL, max(16, n * (radius + 1) // SHARD_ROWS))
+    return _named(prints, first, edges).select("doc_id", "fingerprint", "component_id")
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits of 64 * WORDS by which sets of that Jaccard similarity differ at most.
+
+    A bit differs with probability acos(cosine) / pi, where the cosine of two sets is at least
+    2 s / (1 + s); MARGIN standard deviations are added, so that few pairs of the similarity are missed.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * WORDS * p + MARGIN * math.sqrt(64 * WORDS * p * (1 - p)))
+
+
+def _sketches(width: int):
+    """Rows (doc_id, n, node, f0 ...): distinct shingles, and the wide fingerprint of the set of them."""
+    names = [f"f{k}" for k in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xx = xxhash.xxh64_intdigest
+        for batch in batches:
+            parts, sizes = [], []
+            for _, _, data, offsets in text_pieces(batch.column(1)):
+                text, starts, ends, counts = _shingles(data, offsets, width)
+                hashes = np.fromiter((xx(text[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+                owner = np.repeat(np.arange(len(counts)), counts)
+                order = np.lexsort((hashes, owner))
+                hashes, owner = hashes[order], owner[order]
+                new = np.ones(len(hashes), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                hashes, n = hashes[new], np.bincount(owner[new], minlength=len(counts))
+                parts.append(np.stack([simhash(hashes if k == 0 else K.mixed(hashes + np.uint64(k)), n) for k in range(WORDS)], axis=1))
+                sizes.append(n)
+            if parts:
+                value, n = np.concatenate(parts), np.concatenate(sizes)
+                node = K.sequence_hashes(np.hstack([value, n[:, None].astype(np.uint64)]).ravel(), np.arange(len(n)) * (WORDS + 1), np.arange(1, len(n) + 1) * (WORDS + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64)), *(pa.array(value[:, k].view(np.int64)) for k in range(WORDS))], names=["doc_id", "n", "node", *names])
+
+    return run, "doc_id long, n long, node long, " + ", ".join(f"{k} long" for k in names), names
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows (doc_id, component_id), one for each row of `docs`: components of texts whose sets of shingles are alike.
+
+    The fingerprints are of 64 * WORDS bits over the distinct shingles of `width` words, and link within
+    wide_radius(similarity). Sets of that similarity have sizes within that ratio, so only neighbouring
+    classes of size (powers of 1 / similarity) are compared, in the tiles of linked(). Null and empty
+    texts are alike. For null ids, repeated rows and empty tables see components().
+    """
+    run, schema, names = _sketches(width)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    prints = written(rows.mapInArrow(run, schema), "sketches")
+    first = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(k).alias(k) for k in names)), "nodes")
+    level = F.floor(F.log("n") / -math.log(similarity) + 1e-9).cast("long")
+    keyed = first.where("n > 0").select("node", *names, F.lit(0).alias("choice"), F.explode(F.array(level, level - 1)).alias("bits"))
+    n = first.count()
+    edges = links(keyed, names, wide_radius(similarity), WIDE_CELL, max(16, n // 4096))
+    return _named(prints, first, edges).select("doc_id", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `docs` that have the smallest id of their component, with all their columns.
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs` that have the smallest id of their component in similar(), with all their columns.
 
     Of repeated rows with one id, all stay or go together. Rows without an id stay: they can't be told apart.
     """
-    kept = components(docs, width, radius, id_column, text_column).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = similar(docs, width, similarity, id_column, text_column).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     own = docs.join(kept, F.col(id_column).cast("long") == F.col("__kept"), "left_semi")
     return own.unionByName(docs.where(F.col(id_column).isNull()))
