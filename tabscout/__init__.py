@@ -1,0 +1 @@
+"""Inspection of messy delimited text at scale, on Spark. See README.md."""
