@@ -85,7 +85,7 @@ class RateLimiter:
 
 def rate_window(calls: DataFrame, key: str, at: str, seconds: int = C.RATE_WINDOW_SECONDS) -> DataFrame:
     """`calls` with n_recent: calls of the key in the window that ends with each."""
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(at)).rangeBetween(-seconds, 0)
+    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
     return calls.withColumn("n_recent", F.count("*").over(w))
 
 

@@ -354,7 +354,7 @@ def replay_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
-    return rows.groupBy("day").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count("*")).na.fill(0)
+    return rows.groupBy("day").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 # ---------------------------------------------------------------- streaming

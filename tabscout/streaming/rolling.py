@@ -35,11 +35,12 @@ def _finished(key: str, s: dict[str, Any], head_bytes: int, scan_limit: int, mos
     return pd.DataFrame({"stream": [key], "size": [None if far else s["seen"]], "head": [s["head"]], "tail": [None if far else s["tail"]], "read_error": [error]}).astype({"size": "Int64"})
 
 
-def rolling_windows(chunks: DataFrame, head_bytes: int = C.DEFAULT_HEAD_BYTES, tail_bytes: int = C.DEFAULT_TAIL_BYTES, scan_limit: int = C.MAX_FORWARD_SCAN_BYTES, most: int | None = None, stall_ms: int = 60_000) -> DataFrame:
+def rolling_windows(chunks: DataFrame, head_bytes: int = C.DEFAULT_HEAD_BYTES, tail_bytes: int = C.DEFAULT_TAIL_BYTES, scan_limit: int = C.MAX_FORWARD_SCAN_BYTES, most: int | None = None, stall_ms: int | None = None) -> DataFrame:
     """A streaming DataFrame of finished streams: windows as sample() takes them, or a read_error.
 
     Past `scan_limit` bytes after the head the tail is null: the end counts as not seen. More than `most`
-    bytes, or no chunk for `stall_ms`, is an error. Chunks that wait for their turn are kept in the state.
+    bytes, or no chunk for `stall_ms`, is an error; with such a limit a query never ends by itself, as a
+time-out may always come. Chunks that wait for their turn are kept in the state.
     """
     import pickle
 
@@ -67,9 +68,10 @@ def rolling_windows(chunks: DataFrame, head_bytes: int = C.DEFAULT_HEAD_BYTES, t
             state.remove()
         else:
             state.update((s["head"], s["tail"], s["seen"], turn, pickle.dumps(waiting), ended))
-            state.setTimeoutDuration(stall_ms)
+            if stall_ms is not None:
+                state.setTimeoutDuration(stall_ms)
 
-    return chunks.groupBy("stream").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout if stall_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def inspect_new_files(spark, folder: str, sink: str, checkpoint: str, **options: Any):
