@@ -45,12 +45,21 @@ LEAST_LENGTH, LEAST_DIGITS = 6, 3
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
-def _located(text: Column, pattern: str, needed: Column, keep, kind: int) -> Column:
+def _matched(rows: DataFrame, text: Column, pattern: str, needed: Column, name: str) -> DataFrame:
+    """`rows` with __values_name, the matches, and __gaps_name, what stands before, between and after them.
+
+    Columns of their own, so that each regular expression runs twice a text and not once for each use.
+    """
+    rows = rows.withColumn(f"__values_{name}", F.when(needed, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    return rows.withColumn(f"__gaps_{name}", F.when(F.size(f"__values_{name}") > 0, F.split(text, pattern, -1)))
+
+
+def _located(name: str, keep, kind: int) -> Column:
     """array<struct<start,end,kind>> of the matches that `keep` accepts; positions are code points."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(v.alias("v"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {SPAN})").alias("spans"))
+    values, gaps = F.col(f"__values_{name}"), F.col(f"__gaps_{name}")
+    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("v"), F.length(g).alias("g")))
+    none = F.expr(f"CAST(array() AS {SPAN})")
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["g"]
@@ -58,7 +67,7 @@ def _located(text: Column, pattern: str, needed: Column, keep, kind: int) -> Col
         span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(keep(x["v"]), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(needed, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(F.expr(f"CAST(array() AS {SPAN})"))
+    return F.when(gaps.isNotNull(), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(none)
 
 
 def _luhn(value: Column) -> Column:
@@ -80,17 +89,18 @@ def _digits(value: Column, least: int, most: int) -> Column:
     return F.length(F.regexp_replace(value, "[^0-9]", "")).between(least, most)
 
 
-def entities(text: Column) -> Column:
-    """array<struct<start,end,kind>> of all entities of fixed form in a text, by start and kind."""
-    digit, yes = text.rlike("[0-9]"), lambda v: F.lit(True)
-    found = [
-        _located(text, EMAIL, F.contains(text, F.lit("@")), yes, 0),
-        _located(text, IP, digit & F.contains(text, F.lit(".")), _address, 1),
-        _located(text, CARD, digit, _luhn, 2),
-        _located(text, PHONE, F.contains(text, F.lit("+")), lambda v: _digits(v, 9, 15), 3),
-        _located(text, SECRET, digit, yes, 4),
-    ]
-    return _sorted(F.concat(*found))
+def entities(rows: DataFrame, text: Column) -> DataFrame:
+    """`rows` with __spans: all entities of fixed form in a text, by start and kind."""
+    digit, yes = F.col("__digit"), lambda v: F.lit(True)
+    rows = rows.withColumn("__digit", text.rlike("[0-9]"))
+    forms = (
+        ("email", EMAIL, F.contains(text, F.lit("@")), yes), ("ip", IP, digit & F.contains(text, F.lit(".")), _address), ("card", CARD, digit, _luhn),
+        ("phone", PHONE, F.contains(text, F.lit("+")), lambda v: _digits(v, 9, 15)), ("secret", SECRET, digit, yes),
+    )
+    for name, pattern, needed, _ in forms:
+        rows = _matched(rows, text, pattern, needed, name)
+    spans = _sorted(F.concat(*(_located(name, keep, kind) for kind, (name, _, _, keep) in enumerate(forms))))
+    return rows.withColumn("__spans", spans).drop("__digit", *(f"__{x}_{f[0]}" for f in forms for x in ("values", "gaps")))
 
 
 def _sorted(spans: Column) -> Column:
@@ -103,10 +113,10 @@ def _word(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), f"^{_AROUND}+(?=.)|(?<=.){_AROUND}+$", "")
 
 
-def candidates(text: Column, spans: Column) -> Column:
-    """array<struct<start,end,instance,left,both,seed>> of the identifier-like words of a text and their patterns."""
-    gaps = F.split(text, _CANDIDATE, -1)
-    values = F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0))
+def candidates(rows: DataFrame, text: Column, spans: Column) -> DataFrame:
+    """`rows` with __candidates: array<struct<start,end,instance,left,both,seed>> of the identifier-like words of a text and their patterns."""
+    rows = _matched(rows, text, _CANDIDATE, text.rlike("[0-9@]"), "words")
+    values, gaps = F.col("__values_words"), F.col("__gaps_words")
     numbers = F.sequence(F.lit(1), F.size(values))
     start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int,k:int>>)").alias("found"))
 
@@ -115,7 +125,7 @@ def candidates(text: Column, spans: Column) -> Column:
         end = begin + F.length(F.element_at(values, k))
         return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(begin.alias("start"), end.alias("end"), k.alias("k"))).alias("found"))
 
-    placed = F.aggregate(numbers, start, step, lambda acc: acc["found"])
+    rows = rows.withColumn("__placed", F.when(gaps.isNotNull(), F.aggregate(numbers, start, step, lambda acc: acc["found"])))
 
     def whole(c: Column) -> Column:
         value, before, after = F.element_at(values, c["k"]), F.right(F.element_at(gaps, c["k"]), F.lit(80)), F.left(F.element_at(gaps, c["k"] + 1), F.lit(80))
@@ -131,8 +141,11 @@ def candidates(text: Column, spans: Column) -> Column:
         both = F.when((one != "") & (right != "") & lexical(F.concat(one, right)), F.concat(one, F.lit(" _ "), right))
         return F.struct(begin.alias("start"), (begin + F.length(core)).alias("end"), core.alias("instance"), left.alias("left"), both.alias("both"), seed.alias("seed"))
 
-    full = F.when(text.rlike("[0-9@]") & (F.size(values) > 0), F.transform(placed, whole))
-    return F.filter(F.coalesce(full, F.expr("CAST(array() AS array<struct<start:int,end:int,instance:string,left:string,both:string,seed:boolean>>)")), lambda c: c["seed"] | ((F.length(F.regexp_replace(c["instance"], "[^A-Za-z0-9]", "")) >= LEAST_LENGTH) & (F.length(F.regexp_replace(c["instance"], "[^0-9]", "")) >= LEAST_DIGITS)))
+    plain = lambda c, kept: F.length(F.regexp_replace(c["instance"], f"[^{kept}]", ""))
+    rows = rows.withColumn("__whole", F.transform("__placed", whole))
+    good = F.filter("__whole", lambda c: c["seed"] | ((plain(c, "A-Za-z0-9") >= LEAST_LENGTH) & (plain(c, "0-9") >= LEAST_DIGITS)))
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int,instance:string,left:string,both:string,seed:boolean>>)")
+    return rows.withColumn("__candidates", F.coalesce(good, none)).drop("__values_words", "__gaps_words", "__placed", "__whole")
 
 
 def believed(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -152,17 +165,19 @@ def believed(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
 
 
-def find(docs: DataFrame, text_column: str = "text") -> DataFrame:
+def find(docs: DataFrame, text_column: str = "text", keep_text: bool = True) -> DataFrame:
     """`docs`, all columns, with `__spans`: array<struct<start,end,kind>>, by start and kind (numbers of KINDS).
 
     Kinds 0 to 3 are the base: leftmost non-overlapping matches of each form in the whole text, those that
     fail their check dropped. Kinds 4 and 5 are what the method adds: secrets and found identifiers that no
     other span covers. Nulls: a null text has no spans; other columns are only passed on. Repeated
     rows each get their spans; empty texts and tables have none. Columns of `docs` that begin with two
-    underscores are not allowed.
+    underscores are not allowed. keep_text=False leaves the texts out, and out of what is written.
     """
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.withColumn("__spans", entities(text)).withColumn("__candidates", candidates(text, F.col("__spans")))
+    rows = docs.withColumn("__text", F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    rows = entities(rows, F.col("__text"))
+    rows = candidates(rows, F.col("__text"), F.col("__spans")).drop("__text")
+    rows = rows if keep_text else rows.drop(text_column)
     rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "entities")
     spread = rows.select("__row", F.explode("__candidates").alias("c")).select("__row", "c.*")
     spread = spread.select("__row", "start", "end", "instance", "seed", F.explode(F.array_distinct(F.array("left", "both"))).alias("pattern")).where(F.col("pattern").isNotNull())

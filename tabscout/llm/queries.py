@@ -22,7 +22,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("__spans")
-    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     counts = [pii.count_of(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return out.select("doc_id", *counts, F.sha2(pii.listed(pii.base(spans)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
 
