@@ -160,7 +160,7 @@ class BlockMaxIndex:
     def __init__(self, idf: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], ids: np.ndarray, labels: np.ndarray) -> None:
         self.idf = idf
         vectors = self.vectors(terms, counts)
-        strongest = vectors.argmax(axis=1) if len(vectors) else np.zeros(0, int)
+        strongest = vectors.argmax(axis=1) if vectors.size else np.zeros(len(vectors), int)
         order = np.lexsort((ids, (vectors > 0).sum(axis=1), strongest, ~vectors.any(axis=1)))
         self.weights, self.ids, self.labels = vectors[order], ids[order], labels[order]
         self.edges = np.arange(0, len(order) + BLOCK, BLOCK).clip(max=len(order))
