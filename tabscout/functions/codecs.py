@@ -75,19 +75,19 @@ def utf8_suffix(data: Column) -> Column:
 
 
 def detect(data: bytes) -> str:
-    """A label for a sample: its byte order mark, UTF-8 (also if cut at its end), null-patterned UTF-16, else a single-byte codec."""
+    """A label for a sample: its byte order mark, UTF-16 by its null bytes, UTF-8 (also if cut at its end), else a single-byte codec."""
     for mark, label in BOMS:
         if data.startswith(mark):
             return label
+    if len(data) >= 4 and data[1::2].count(0) * 2 > len(data) // 2:
+        return "utf-16-le"
+    if len(data) >= 4 and data[0::2].count(0) * 2 > len(data) // 2:
+        return "utf-16-be"
     try:
         codecs.getincrementaldecoder("utf-8")().decode(data, final=False)
         return "utf-8"
     except UnicodeDecodeError:
         pass
-    if len(data) >= 4 and data[1::2].count(0) * 2 > len(data) // 2:
-        return "utf-16-le"
-    if len(data) >= 4 and data[0::2].count(0) * 2 > len(data) // 2:
-        return "utf-16-be"
     try:
         data.decode("cp1252")
         return "cp1252"
