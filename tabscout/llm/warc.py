@@ -23,8 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabscout.llm.shared import within, written
+
 #: Plain bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME, BUNDLE = 256 << 10, 8 << 20
+#: Rows up to which the digests of repeated payloads are broadcast; beyond, payloads are shuffled by digest.
+MOST_BROADCAST = 100_000
 #: Fewest bytes of a payload that revisits may refer to.
 SMALLEST = 100
 LEVEL = 3
@@ -168,7 +172,7 @@ def bundles(pages: DataFrame, id_column: str = "page_id", uri_column: str = "url
     rows = pages.select(F.col(id_column).alias("id"), F.coalesce(F.col(uri_column).cast("string"), F.lit("")).alias("uri"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     first = rows.where(F.col("size") >= SMALLEST).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
+    rows = rows.join(within(written(first, "repeated"), MOST_BROADCAST), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
     name = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     out = rows.select(name.alias("record_id"), "uri", "size", "digest", F.when(revisit, F.col("first").cast("string")).alias("refers_to"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
