@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
 import sys
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tabscout import constants as C
 from tabscout import settings
 from tabscout.errors import TabscoutError
-from tabscout.operators import inspection, invokers
+from tabscout.operators import inspection, invokers, live
 
 
 def bounded(least: int, most: int) -> Callable[[str], int]:
@@ -54,13 +55,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        own = settings.load(env_file=None if args.no_env_file else args.env_file).ready()
-        if (args.backend or own.llm_backend) != "offline":
-            raise TabscoutError("only the offline backend is built in; pass an invoker to inspect() for others")
+        own = settings.load(env_file=None if args.no_env_file else args.env_file)
+        own = dataclasses.replace(own, llm_backend=args.backend or own.llm_backend).ready()
+        invoker = {"offline": lambda: invokers.heuristic, "local": lambda: live.LocalChat(own.local_host, seconds=args.timeout), "api": lambda: live.CloudGenerate(own.api_key, seconds=args.timeout)}[own.llm_backend]()
         spark = SparkSession.builder.appName("tabscout").getOrCreate()
         spark.sparkContext.setLogLevel(args.log_level)
         model, fallback = own.models()
-        rows = inspection.inspect(spark, args.path, args.bytes, args.tail_bytes, invoker=invokers.heuristic, model=args.model or model, fallback=args.fallback_model or fallback, budget=args.timeout)
+        rows = inspection.inspect(spark, args.path, args.bytes, args.tail_bytes, invoker=invoker, model=args.model or model, fallback=args.fallback_model or fallback, budget=args.timeout, secret=own.api_key)
         failed = False
         for r in rows.select("path", F.to_json("result", {"ignoreNullFields": "false"}).alias("result"), F.to_json("usage").alias("usage"), "error").toLocalIterator():
             failed = failed or r["error"] is not None

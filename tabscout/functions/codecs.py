@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import encodings.aliases
+import json
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,9 +31,14 @@ def _known() -> dict[str, str]:
     return {k: v for k, v in sorted(found.items()) if v}
 
 
+@lru_cache(maxsize=1)
+def _known_json() -> str:
+    return json.dumps(_known())
+
+
 def canonical(label: Column) -> Column:
     """The canonical name as an expression: a map that the driver builds once. Unknown: null."""
-    table = F.create_map(*(F.lit(x) for pair in _known().items() for x in pair))
+    table = F.from_json(F.lit(_known_json()), "map<string,string>")  # folded to a constant by the optimiser
     return F.try_element_at(table, F.regexp_replace(F.lower(label), "[- ]", "_"))
 
 
