@@ -8,7 +8,9 @@ exclusive-or and bit count unless their population counts differ beyond the radi
 only bound the work: every pair within the radius shares a cell, so no link is lost.
 
 For a similarity of sets of shingles, as near-dup stages take it, 64 bits are too few: similar() uses
-64 * WORDS bits over the distinct shingles, and classes of set size as cells.
+64 * WORDS bits over the distinct shingles, and blocks of that many bits could not all be tried. Its cells
+are the values of MINHASHES min-hashes: two sets share each with a probability of their similarity, so
+at 0.8 a pair meets nowhere with a probability under 3e-6, and texts that share nothing don't meet.
 
 A cell of more than `CELL` fingerprints is dealt into a triangle of sub-cells, so none is unbounded. A
 cell answers with one edge to its component's smallest member for each linked fingerprint, never with
@@ -35,7 +37,9 @@ SEED = 42
 #: Fingerprints of one tile, and of one cell before it is split.
 TILE, CELL = 1024, 8192
 #: The same for wide fingerprints, their words, and standard deviations added to their radius.
-WIDE_CELL, WORDS, MARGIN = 32_768, 16, 2.0
+WIDE_CELL, WORDS, MARGIN = 8192, 16, 2.0
+#: Min-hashes by which similar() lets texts meet.
+MINHASHES = 8
 #: Rows of one task's cells aimed at.
 SHARD_ROWS = 200_000
 #: Up to so many distinct fingerprints radius + 1 blocks are used; then one more for every factor of 256.
@@ -171,17 +175,19 @@ def _comparer(radius: int, words: list[str]):
     return compare
 
 
-def links(keyed: DataFrame, words: list[str], radius: int, cell: int, shards: int) -> DataFrame:
+def links(keyed: DataFrame, prints: DataFrame | None, words: list[str], radius: int, cell: int, shards: int) -> DataFrame:
     """Edges (u, v) of nodes whose components are those of all pairs within the radius that share a cell.
 
-    `keyed` has the cell (choice, bits), node and the words of its fingerprint, once for each cell of a node.
-    Cells of more than `cell` nodes are dealt into a triangle of sub-cells.
+    `keyed` has the cell (choice, bits) and node, once for each cell of a node, and `prints` each node's words
+    (None: a node is its own fingerprint). Cells of one node are left out before the fingerprints are fetched,
+    and those of more than `cell` nodes are dealt into a triangle of sub-cells.
     """
-    large = keyed.groupBy("choice", "bits").count().where(F.col("count") > cell).withColumn("parts", F.ceil(F.col("count") / cell).cast("int")).drop("count")
-    placed = keyed.join(large, ["choice", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    placed = keyed.join(sizes, ["choice", "bits"]).withColumn("parts", F.ceil(F.col("n") / cell).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = spread.select("choice", "bits", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", *words)
+    cells = spread.select("choice", "bits", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node")
+    cells = cells.withColumn(words[0], F.col("node")) if prints is None else cells.join(prints.select("node", *words), "node")
     cells = cells.withColumn("shard", F.pmod(F.xxhash64("choice", "bits", "i", "j"), F.lit(shards)).cast("int"))
     return cells.groupBy("shard").applyInArrow(_comparer(radius, words), "u long, v long")
 
@@ -209,8 +215,8 @@ def components(docs: DataFrame, width: int = 4, radius: int = 4, id_column: str
     prints = written(fingerprints(docs, width, id_column, text_column), "fingerprints").withColumn("node", F.col("fingerprint"))
     first = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
     n = first.count()
-    keyed = first.select("node", F.col("node").alias("fingerprint")).select("*", F.explode(_cells(radius, n)).alias("c")).select("node", "fingerprint", "c.choice", "c.bits")
-    edges = links(keyed, ["fingerprint"], radius, CELL, max(16, n * (radius + 1) // SHARD_ROWS))
+    keyed = first.select("node", F.col("node").alias("fingerprint")).select("node", F.explode(_cells(radius, n)).alias("c")).select("node", "c.choice", "c.bits")
+    edges = links(keyed, None, ["fingerprint"], radius, CELL, max(16, n * (radius + 1) // SHARD_ROWS))
     return _named(prints, first, edges).select("doc_id", "fingerprint", "component_id")
 
 
@@ -225,13 +231,13 @@ def wide_radius(similarity: float) -> int:
 
 
 def _sketches(width: int):
-    """Rows (doc_id, n, node, f0 ...): distinct shingles, and the wide fingerprint of the set of them."""
-    names = [f"f{k}" for k in range(WORDS)]
+    """Rows (doc_id, n, node, f0 ..., m0 ...): distinct shingles, wide fingerprint and min-hashes of the set of them."""
+    names, least = [f"f{k}" for k in range(WORDS)], [f"m{k}" for k in range(MINHASHES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xx = xxhash.xxh64_intdigest
         for batch in batches:
-            parts, sizes = [], []
+            parts, lows, sizes = [], [], []
             for _, _, data, offsets in text_pieces(batch.column(1)):
                 text, starts, ends, counts = _shingles(data, offsets, width)
                 hashes = np.fromiter((xx(text[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
@@ -241,33 +247,37 @@ def _sketches(width: int):
                 new = np.ones(len(hashes), bool)
                 new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
                 hashes, n = hashes[new], np.bincount(owner[new], minlength=len(counts))
-                parts.append(np.stack([simhash(hashes if k == 0 else K.mixed(hashes + np.uint64(k)), n) for k in range(WORDS)], axis=1))
+                salted = [hashes, *(K.mixed(hashes + np.uint64(k)) for k in range(1, WORDS))]
+                parts.append(np.stack([simhash(h, n) for h in salted], axis=1))
+                low, full = np.zeros((len(n), MINHASHES), np.uint64), np.flatnonzero(n)
+                if len(full):
+                    begin = np.concatenate([[0], np.cumsum(n[full])[:-1]])
+                    low[full] = np.stack([np.minimum.reduceat(h, begin) for h in salted[:MINHASHES]], axis=1)
+                lows.append(low)
                 sizes.append(n)
             if parts:
-                value, n = np.concatenate(parts), np.concatenate(sizes)
+                value, low, n = np.concatenate(parts), np.concatenate(lows), np.concatenate(sizes)
                 node = K.sequence_hashes(np.hstack([value, n[:, None].astype(np.uint64)]).ravel(), np.arange(len(n)) * (WORDS + 1), np.arange(1, len(n) + 1) * (WORDS + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64)), *(pa.array(value[:, k].view(np.int64)) for k in range(WORDS))], names=["doc_id", "n", "node", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64)), *(pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for x in (value, low) for k in range(x.shape[1]))], names=["doc_id", "n", "node", *names, *least])
 
-    return run, "doc_id long, n long, node long, " + ", ".join(f"{k} long" for k in names), names
+    return run, "doc_id long, n long, node long, " + ", ".join(f"{k} long" for k in names + least), names, least
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (doc_id, component_id), one for each row of `docs`: components of texts whose sets of shingles are alike.
 
     The fingerprints are of 64 * WORDS bits over the distinct shingles of `width` words, and link within
-    wide_radius(similarity). Sets of that similarity have sizes within that ratio, so only neighbouring
-    classes of size (powers of 1 / similarity) are compared, in the tiles of linked(). Null and empty
+    wide_radius(similarity) if they share a min-hash, compared in the tiles of linked(). Null and empty
     texts are alike. For null ids, repeated rows and empty tables see components().
     """
-    run, schema, names = _sketches(width)
+    run, schema, names, least = _sketches(width)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     prints = written(rows.mapInArrow(run, schema), "sketches")
-    first = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(k).alias(k) for k in names)), "nodes")
-    level = F.floor(F.log("n") / -math.log(similarity) + 1e-9).cast("long")
-    keyed = first.where("n > 0").select("node", *names, F.lit(0).alias("choice"), F.explode(F.array(level, level - 1)).alias("bits"))
-    n = first.count()
-    edges = links(keyed, names, wide_radius(similarity), WIDE_CELL, max(16, n // 4096))
-    return _named(prints, first, edges).select("doc_id", "component_id")
+    first = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(k).alias(k) for k in ("n", *names, *least))), "nodes")
+    lows = F.array(*(F.struct(F.lit(k).alias("choice"), F.col(m).alias("bits")) for k, m in enumerate(least)))
+    keyed = first.where("n > 0").select("node", F.explode(lows).alias("c")).select("node", "c.choice", "c.bits")
+    edges = links(keyed, first, names, wide_radius(similarity), WIDE_CELL, max(16, first.count() // 4096))
+    return _named(prints.select("doc_id", "node"), first, edges).select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
