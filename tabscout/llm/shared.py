@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +19,17 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 1 << 20
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A folder of this machine, gone when the process ends."""
+    folder = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where that is unset, a folder of this machine (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or os.path.join(tempfile.gettempdir(), "checkpoints")
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -39,11 +49,6 @@ def within(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def rows_of(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
-    """A DataFrame of a few rows that the driver made."""
-    return spark.createDataFrame(list(rows), schema)
-
-
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, end to end, and the len + 1 offsets of the texts in them. Null: empty."""
     if isinstance(column, pa.ChunkedArray):

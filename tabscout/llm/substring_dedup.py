@@ -142,7 +142,7 @@ def _between(x: float, bounds: tuple[int, int]) -> int:
     return int(min(max(x, bounds[0]), bounds[1]))
 
 
-def remove_repeated(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text_column: str = "text", batch_bytes: tuple[int, int] = BATCH_BYTES, bucket_windows: tuple[int, int] = BUCKET_WINDOWS) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, removed, kept_text), one for each row of `docs`.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if a window over it has a word sequence that
@@ -152,12 +152,15 @@ def remove_repeated(docs: DataFrame, window: int = 13, id_column: str = "doc_id"
     Nulls: a null text has no words; a null id counts as larger than any other. Texts under `window`
     words, or empty, keep all their words. Rows with one id are one document: neither is smaller. An
     empty table gives no rows. Other columns of `docs` are not read.
+
+    batch_bytes and bucket_windows bound what a task holds: about 10 times a batch and 50 bytes a window.
+    A batch has a row for each bucket, so beyond some 10 TB larger ones, on larger executors, keep rows few.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
-    batches = max(1, -(-size // _between(size / PARTS, BATCH_BYTES)))
+    batches = max(1, -(-size // _between(size / PARTS, batch_bytes)))
     windows = size / 6 + 1
-    buckets = max(1, int(-(-windows // _between(windows / PARTS, BUCKET_WINDOWS))))
+    buckets = max(1, int(-(-windows // _between(windows / PARTS, bucket_windows))))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     blobs = dealt.groupBy("batch").applyInArrow(_emitter(window, buckets), "batch int, bucket int, hashes binary, docs binary")
     masks = blobs.groupBy("bucket").applyInArrow(_judge, "batch int, bucket int, n int, bits binary")
