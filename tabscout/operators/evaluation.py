@@ -48,6 +48,40 @@ def comparisons(results: DataFrame, manifest: DataFrame) -> DataFrame:
     return spread.select("fixture", "c.*")
 
 
+def evaluate(inspected: DataFrame, manifest: DataFrame, models: int = 1, api: bool = False, repeat: int = 1) -> DataFrame:
+    """Evaluation lines, as a run file has them, of inspected files (fixture, result, usage, error, raw_responses).
+
+    `manifest` has fixture, category, known_limitation, expected, present and expected_error. A file that
+    raises just the expected error matches on the field expected_error and costs no call; one that should have
+    and did not misses it. Any other error is the line's. A failed file counts as its worst case of calls.
+    """
+    rows = inspected.join(manifest.select("fixture", "category", "known_limitation", "expected_error"), "fixture")
+    told = comparisons(inspected.where(F.col("result").isNotNull()).select("fixture", "result"), manifest)
+    of = lambda verdict, what: F.array_sort(F.array_compact(F.collect_list(F.when(F.col("verdict") == verdict, F.struct(field_order(F.col("field")).alias("o"), what.alias("x"))))))
+    missed = F.struct("field", "expected", "actual")
+    per = told.groupBy("fixture").agg(of("matched", F.col("field")).alias("m"), of("mismatched", missed).alias("w"), of("skipped", F.col("field")).alias("s"))
+    names = manifest.join(inspected.where(F.col("result").isNotNull()).select("fixture", "result"), "fixture").select("fixture", F.col("expected.columns").alias("expected"), F.col("result.columns").alias("actual"))
+    rows = rows.join(per, "fixture", "left").join(column_recall(names), "fixture", "left")
+    strings, wrongs = "array<string>", "array<struct<field:string,expected:string,actual:string>>"
+    x = lambda c: F.transform(c, lambda v: v["x"])
+    expected = F.coalesce(F.col("error.class") == F.col("expected_error"), F.lit(False))
+    failed = F.col("error").isNotNull() & ~expected
+    escaped = F.col("result").isNotNull() & F.col("expected_error").isNotNull()
+    never = F.array(F.struct(F.lit("expected_error").alias("field"), F.to_json(F.array("expected_error")).alias("expected"), F.lit(None).cast("string").alias("actual")))
+    matched = F.when(expected, F.array(F.lit("expected_error"))).otherwise(F.coalesce(x("m"), F.expr(f"CAST(array() AS {strings})")))
+    wrong = F.coalesce(x("w"), F.expr(f"CAST(array() AS {wrongs})")).cast(wrongs)
+    worst = models * (2 if api else 1)
+    out = rows.withColumn("matched", matched).withColumn("mismatched", F.when(escaped, F.concat(wrong, never.cast(wrongs))).otherwise(wrong))
+    out = out.withColumn("skipped", F.when(expected, F.array(*(F.lit(f) for f in C.RESULT_FIELDS))).otherwise(F.coalesce(x("s"), F.expr(f"CAST(array() AS {strings})"))))
+    message = F.when(failed, F.concat_ws(": ", F.col("error.class"), F.col("error.message")))
+    calls = F.when(expected, 0).when(failed, worst).otherwise(F.col("usage.attempts") + F.col("usage.retries"))
+    return out.select(
+        "fixture", "category", F.lit(repeat).alias("repeat"), "known_limitation", F.col("usage.model").alias("model_used"), "matched", "mismatched", "skipped", line_score(F.col("matched"), F.col("mismatched"), message).alias("score"),
+        "columns_recall", "columns_count_match", "usage", F.col("usage.latency_seconds").alias("latency_seconds"), calls.cast("int").alias("calls"), message.alias("error"), F.coalesce("error.attempts", F.expr("CAST(map() AS map<string,string>)")).alias("attempt_errors"),
+        F.coalesce("usage.retries", F.lit(0)).alias("retries"), F.col("raw_responses").alias("raw_response"),
+    )
+
+
 def column_recall(names: DataFrame) -> DataFrame:
     """Rows (fixture, columns_recall, columns_count_match) of rows (fixture, expected, actual), arrays of names.
 

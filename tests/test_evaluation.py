@@ -133,3 +133,25 @@ def test_reports(spark, tables):
     text = reports.run_report(e, s)
     assert "## Errors" in text and "EmptySampleError: empty" in text and text.endswith("Aggregate: 70.0 %\n")
     assert reports.label({"model": "m", "replay_of": "x"}, False) == "m (replay, incomplete)"
+
+
+def test_evaluate_a_run(spark, tmp_path):
+    """Files inspected by the heuristic become the lines of a run, are written, read and summed up."""
+    from tabscout.operators import inspection
+
+    kind = "struct<encoding:string,delimiter:string,quotechar:string,escapechar:string,doublequote:boolean,has_header:boolean,header_row_index:int,footer_lines:array<string>,footer_rows_to_skip:int,columns:array<string>>"
+    files = [("good", b"Fecha;Cliente\n2024-01-01;x\n2024-01-02;y\n"), ("wrong", b"a,b\n1,2\n3,4\n"), ("empty", b""), ("surprise", b"a,b\n1,2\n3,4\n")]
+    truth = lambda d, c: ("utf-8", d, None, None, None, True, 0, [], None, c)
+    present = ["encoding", "delimiter", "escapechar", "has_header", "header_row_index", "footer_lines", "columns"]
+    rows = [("good", "c", False, truth(";", ["Fecha", "Cliente"]), present, None), ("wrong", "c", False, truth(";", ["a"]), present, None), ("empty", "d", False, truth(None, None), [], "EmptySampleError"), ("surprise", "d", False, truth(",", ["a", "b"]), present, "EmptySampleError")]
+    manifest = spark.createDataFrame(rows, f"fixture string, category string, known_limitation boolean, expected {kind}, present array<string>, expected_error string")
+    done = inspection.inspect(spark, spark.createDataFrame([(n, bytearray(b)) for n, b in files], "fixture string, content binary"))
+    lines = evaluation.evaluate(done, manifest).cache()
+    got = {r["fixture"]: r for r in lines.collect()}
+    assert got["good"]["score"] == 1.0 and got["good"]["columns_recall"] == 1.0 and got["good"]["calls"] == 1
+    assert [m["field"] for m in got["wrong"]["mismatched"]] == ["delimiter", "columns"] and got["wrong"]["columns_recall"] == 1.0 and got["wrong"]["columns_count_match"] is False
+    assert got["empty"]["matched"] == ["expected_error"] and got["empty"]["error"] is None and got["empty"]["calls"] == 0 and got["empty"]["score"] == 1.0
+    assert [m["field"] for m in got["surprise"]["mismatched"]] == ["expected_error"]
+    runs.write(lines, str(tmp_path / "run"), {"model": "heuristic"})
+    again = evaluation.summarize(runs.read(spark, str(tmp_path / "run"))["evaluations"])
+    assert again["fixture_verdicts"] == {"good": "pass", "wrong": "fail: delimiter, columns", "empty": "pass", "surprise": "fail: expected_error"} and again["lines"] == 4
