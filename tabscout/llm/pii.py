@@ -10,7 +10,8 @@
    1 - product(1 - DAMPING * confidence) from its patterns. Seeds keep score 1.
 4. Candidates under a pattern of enough confidence and support are new identifiers, kind `found`.
 
-Patterns and instances are aggregated before they meet; nothing but the round count is on the driver.
+Patterns and instances are aggregated before they meet, and joins are between written tables, so that Spark
+splits the rows of a common pattern over tasks; nothing but the round count is on the driver.
 """
 
 from __future__ import annotations
@@ -150,10 +151,10 @@ def candidates(rows: DataFrame, text: Column, spans: Column) -> DataFrame:
 
 def believed(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Rows (pattern, confidence, support) of the patterns to believe, from rows (pattern, instance, seed)."""
-    edges = occurrences.where(F.col("pattern").isNotNull()).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    several = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
+    edges = written(occurrences.where(F.col("pattern").isNotNull()).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pairs")
+    several = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"), "several")
     edges = written(edges.join(several, "pattern", "left_semi"), "edges")
-    scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
+    scores = written(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")), "instances")
     seeds = scores.where("score = 1").select("instance", F.lit(True).alias("known"))
     for left in range(rounds, 0, -1):
         patterns = edges.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("score").alias("support"))
