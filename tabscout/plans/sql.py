@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from tabscout import constants as C
+
 _LINE = r"'[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+'"
 _LINES = f"regexp_extract_all(coalesce(text, ''), {_LINE})"
 _BARE = f"list_transform({_LINES}, lambda l: regexp_replace(l, '[\\r\\n]+$', ''))"
-_DATE = r"\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?|\d{1,2}[/.-]\d{1,2}[/.-](?:\d{4}|\d{2})"
-_DECIMAL = r"[+-]?(?:\d{1,3}(?:[.,]\d{3})+|\d*)[.,]\d+"
-_LABEL = r"(?:sub\s*-?\s*)?(?:grand\s+)?(?:totals?|totales|suma|sum)"
+_DATE, _DECIMAL, _LABEL = C.DATE, C.DECIMAL, C.TOTALS_LABEL
 
 
 def _shape(v: str) -> str:
