@@ -1,7 +1,8 @@
 """Connected components of a graph given as an edge table, by alternating large and small stars.
 
-Each round is two group-bys with map-side minimum and two joins on the node; no neighbourhood is ever
-gathered into one row, and nothing but a count and a checksum comes to the driver. Rounds grow with
+Each round is two group-bys with map-side minimum and two joins on the node, whose sides are plain tables, so
+that Spark splits a hub's rows over tasks; no neighbourhood is ever gathered into one row, and nothing but
+a count and a checksum comes to the driver. Rounds grow with
 the logarithm of the graph's size.
 """
 
@@ -14,8 +15,8 @@ from tabscout.llm.shared import written
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
-    """For each u: the smallest of u and its v."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """For each u: the smallest of u and its v. A written table, so that a join with it can split the rows of a hub."""
+    return written(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "nearest")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -44,5 +45,5 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before or state["n"] == 0:
             return now
         before = state
-        now = written(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(written(_large_star(now), "large")), "edges")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -196,9 +196,9 @@ def _named(prints: DataFrame, first: DataFrame, edges: DataFrame) -> DataFrame:
     """`prints` with component_id, the smallest id of a node's component; `first` has each node's smallest, `least`."""
     hung = stars(edges)
     labelled = first.select("node", "least").join(hung.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-    labelled = labelled.withColumn("root", F.coalesce("root", "node"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(labelled.join(smallest, "root").select("node", "component_id"), "node")
+    labelled = written(labelled.withColumn("root", F.coalesce("root", "node")), "labelled")
+    smallest = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    return prints.join(written(labelled.join(smallest, "root").select("node", "component_id"), "named"), "node")
 
 
 def components(docs: DataFrame, width: int = 4, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
