@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel takes at once; a longer text is taken alone.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 @lru_cache(maxsize=1)

@@ -40,6 +40,8 @@ TILE, CELL = 1024, 8192
 WIDE_CELL, WORDS, MARGIN = 8192, 16, 2.0
 #: Min-hashes by which similar() lets texts meet.
 MINHASHES = 8
+#: Pairs of which all words are held at once.
+PAIRS = 1 << 15
 #: Rows of one task's cells aimed at.
 SHARD_ROWS = 200_000
 #: Up to so many distinct fingerprints radius + 1 blocks are used; then one more for every factor of 256.
@@ -140,8 +142,10 @@ def linked(values: np.ndarray, radius: int, side: np.ndarray | None = None) -> n
                 other &= side[row + i] != side[column + j]
             row, column = row[other], column[other]
             if v.shape[1] > 2 and len(row):
-                rest = np.bitwise_count(a[row, 2:] ^ b[column, 2:]).sum(axis=1, dtype=np.int64)
-                near = apart[row, column] + rest <= radius
+                near = np.empty(len(row), bool)
+                for x in range(0, len(row), PAIRS):  # all words of a dense tile's pairs at once would be large
+                    r, c = row[x : x + PAIRS], column[x : x + PAIRS]
+                    near[x : x + PAIRS] = apart[r, c] + np.bitwise_count(a[r, 2:] ^ b[c, 2:]).sum(axis=1, dtype=np.int64) <= radius
                 row, column = row[near], column[near]
             edges = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]]) if len(row) else [0]
             for x, y in zip(edges[:-1], edges[1:]):
