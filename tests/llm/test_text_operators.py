@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -92,6 +93,25 @@ def test_large_cells_are_split(spark, monkeypatch):
     assert got == label
 
 
+@pytest.mark.parametrize("tile", [1 << 20, 200])
+def test_similar_is_exact_around_the_limit(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash_dedup, "TILE_HASHES", tile)
+    rng, texts = random.Random(4), []
+    for n in (8, 9, 12, 16, 19, 24, 29, 34, 40, 60, 90, 140):
+        for k in range(6):  # words put at the end change one shingle each
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            texts += [" ".join(words)] + [" ".join(words + [f"x{rng.randrange(10**9)}" for _ in range(more)]) for more in {max(1, round((n - 4) / s - (n - 4)) + d) for s in (0.72, 0.8) for d in (-1, 0, 1)}]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and least[i] != least[j]:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar(df).collect()} == dict(enumerate(least))
+
+
 def test_deduplicate_keeps_one_of_each(docs):
     kept = simhash_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
