@@ -29,6 +29,9 @@ from tabscout.llm.shared import text_pieces
 #: Bytes of item texts of one automaton: what the driver reads and a worker builds at once.
 SHARD_BYTES = 16 << 20
 
+#: The column of decontaminate() in which hits gather.
+HITS = "__hits"
+
 FOUND = "doc_id long, items array<string>, hits array<struct<start:long,end:long>>, n_words long, n_hit long"
 
 
@@ -240,37 +243,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     return rows.select("doc_id", "n_words", "n_hit", "items", "hits")
 
 
-def _cleaner(items: list[tuple[str | None, str]], window: int, most: float, at: int):
+def _cleaner(items: list[tuple[str | None, str]], window: int, most: float, at: int, last: bool):
+    """Adds the hits of these items to those in a row's last column; the last step cuts all of them and drops the column."""
     key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(items, window, key)
         for batch in batches:
-            texts, stays = [], []
+            marked, texts, stays = batch.column(batch.num_columns - 1).to_pylist(), [], []
             for lo, hi, data, offsets in text_pieces(batch.column(at)):
                 starts, ends, hashes, first = word_hashes(data, offsets)
-                hit, found = _hits(index, hashes, first)
+                hit, _ = _hits(index, hashes, first)
+                for k in range(lo, hi):
+                    for span in marked[k]:
+                        hit[first[k - lo] + span["start"] : first[k - lo] + span["end"]] = True
                 n, hits = np.diff(first), K.sums_by_text(hit, first)
                 stays.append(hits <= most * n)
                 own = batch.column(at).slice(lo, hi - lo)
-                if not found:
-                    texts.append(own)
+                texts.append(own)
+                if not hits.any():
                     continue
                 begin, end = K.runs(hit, first)
+                if not last:
+                    edges = np.searchsorted(begin, first)
+                    for k in np.flatnonzero(hits).tolist():
+                        runs = slice(edges[k], edges[k + 1])
+                        marked[lo + k] = [{"start": x, "end": y} for x, y in zip((begin[runs] - first[k]).tolist(), (end[runs] - first[k]).tolist())]
+                    continue
                 gone = np.zeros(len(data) + 1, np.int64)
                 gone[starts[begin]] += 1
                 gone[ends[end - 1]] -= 1
                 keep = np.cumsum(gone[:-1]) == 0
                 out = own.to_pylist()
-                for k in found:
+                for k in np.flatnonzero(hits).tolist():
                     a, b = offsets[k], offsets[k + 1]
                     out[k] = data[a:b][keep[a:b]].tobytes().decode()
-                texts.append(pa.array(out, own.type))
-            columns = list(batch.columns)
-            if texts:
+                texts[-1] = pa.array(out, own.type)
+            if not texts:
+                continue
+            columns, names = list(batch.columns), batch.schema.names
+            if last:
                 columns[at] = pa.concat_arrays([x.cast(batch.column(at).type) for x in texts])
-                mask = pa.array(np.concatenate(stays))
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(mask)
+                yield pa.RecordBatch.from_arrays(columns[:-1], names=names[:-1]).filter(pa.array(np.concatenate(stays)))
+            else:
+                columns[-1] = pa.array(marked, spans)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -280,8 +298,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
 
     A span reaches from the first to the last character of a maximal run of hit words. A document of
     which more than `most_coverage` of the words are hit is dropped. Texts without a hit, null and
-    empty ones stay as they are. Of several shards, each cuts what it hits in the text that it is given.
+    empty ones stay as they are. Hits of all items count together, whatever shards they are taken in.
     """
-    for items in _shards(benchmark, item_column, item_text_column):
-        docs = docs.mapInArrow(_cleaner(items, window, most_coverage, docs.columns.index(text_column)), docs.schema)
-    return docs
+    at, shape = docs.columns.index(text_column), docs.schema
+    rows = docs.withColumn(HITS, F.expr("CAST(array() AS array<struct<start:long,end:long>>)"))
+    marked, shards = rows.schema, list(_shards(benchmark, item_column, item_text_column))
+    for k, items in enumerate(shards, 1):
+        last = k == len(shards)
+        rows = rows.mapInArrow(_cleaner(items, window, most_coverage, at, last), shape if last else marked)
+    return rows

@@ -152,6 +152,22 @@ def test_decontamination(spark, docs, monkeypatch, shard):
     assert got == expected
 
 
+@pytest.mark.parametrize("shard", [1 << 24, 200])
+def test_decontaminate_does_not_depend_on_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontamination, "SHARD_BYTES", shard)
+    w = [f"w{k}" for k in range(400)]
+    items = [" ".join(w[15 * k : 15 * k + 20]) for k in range(20)]  # each overlaps the next by 5 words
+    bench = spark.createDataFrame([(f"b{k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    half = [x for k in (0, 10) for x in [*w[15 * k : 15 * k + 20], *(f"o{k}x{j}" for j in range(14))]]  # 40 of 68, by two items
+    overlap = ["a", *w[30:50], *w[50:65], *(f"p{j}" for j in range(60))]
+    apart = [*(f"q{j}" for j in range(60)), *w[200:205], *w[90:110], *w[205:210], "end"]  # cutting joins half windows
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((half, overlap, apart))] + [(3, None), (4, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(df, bench).collect()}
+    hits = {r["doc_id"]: r["n_hit"] for r in decontamination.contamination(df, bench).collect()}
+    assert hits == {0: 40, 1: 35, 2: 20, 3: 0, 4: 0}
+    assert got == {1: " ".join(["a", "", *overlap[36:]]), 2: " ".join([*apart[:65], "", *apart[85:]]), 3: None, 4: ""}
+
+
 def test_decontaminate_cuts_spans(spark):
     rows = [(1, "Before, " + prose(12, 5) + "! After that there is a good deal more of it, enough to stay in the corpus as a text."), (2, prose(12, 5)), (3, "clean"), (4, None), (5, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
