@@ -2,7 +2,7 @@
 
 1. Terms. Words (lower-cased, ASCII letters and digits and all other characters) and their beginnings
    of 5, 6 and 7 bytes, each also as "at least 2, 4 or 8 times in the text", are counted by label in a
-   bounded sample of labelled rows, in which copies and near copies of a text count once; the `TERMS`
+   bounded sample of labelled rows, in which copies and near copies of a text count once for a label; the `TERMS`
    with the highest chi-square are the vocabulary. Whole texts of all rows give term counts, and the document
    frequencies behind the weights are counted over all rows.
 2. Index. The sample's TF-IDF vectors are the examples, sorted so that alike ones share a block. For
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tabscout.llm import kernels as K
 from tabscout.llm.calibration import Isotonic
 from tabscout.llm.quality_classifier import training_labels
-from tabscout.llm.shared import text_pieces, written
+from tabscout.llm.shared import long_list, text_pieces, written
+from tabscout.llm.simhash_dedup import ShingleSets
 
 #: Most examples of each label in the sample, terms of the vocabulary, neighbours, examples of a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 3000, 512, 16, 64
@@ -38,8 +39,8 @@ LEAST_DOCUMENTS, LEAST_CHI = 4, 30.0
 STEMS = (5, 6, 7)
 #: A word or beginning is a term of its own for each of these numbers of occurrences that a text reaches.
 LEVELS = (1, 2, 4, 8)
-#: Min-hashes by which near copies in the sample are told.
-SKETCHES = 3
+#: Jaccard similarity of 3-word windows from which a text of the sample is a copy of another of its label.
+COPY = 0.8
 #: Queries of one search, and cosines within which neighbours are tied.
 QUERIES, TIE = 256, 1e-5
 #: Nearest examples that are given as evidence.
@@ -61,35 +62,45 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (doc_id, text, label) with SKETCHES min-hashes of their 3-word windows (or of the words, if fewer)."""
+def _window_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, label, hashes): distinct hashes of a text's 3-word windows (of its words, if fewer; one of its own for no words)."""
     for batch in batches:
-        sketches = []
+        sets = []
         for lo, hi, data, offsets in text_pieces(batch.column(1)):
             starts, ends, first = K.spans(data, offsets, K.SOLID)
             words = K.span_hashes(K.span_sums(data), starts, ends)
             at, counts = K.window_starts(first, 3)
-            short = np.repeat((counts == 0), np.diff(first))
-            owner = np.concatenate([np.repeat(np.arange(hi - lo), counts), np.repeat(np.arange(hi - lo), np.diff(first))[short]])
-            values = np.concatenate([K.window_hashes(words, at, 3), words[short]])
-            rows = np.zeros((hi - lo, SKETCHES), np.uint64)
-            rows[owner] = np.iinfo(np.uint64).max
-            for k in range(SKETCHES):
-                np.minimum.at(rows[:, k], owner, K.mixed(values + np.uint64(k * 7919 + 1)))
-            sketches.append(rows)
-        if sketches:
-            flat = np.concatenate(sketches).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(flat[:, k]) for k in range(SKETCHES))], names=[*batch.schema.names, *(f"sketch{k}" for k in range(SKETCHES))])
+            windows, edges = K.window_hashes(words, at, 3), np.concatenate([[0], np.cumsum(counts)])
+            for k in range(hi - lo):
+                own = windows[edges[k] : edges[k + 1]] if counts[k] else words[first[k] : first[k + 1]]
+                sets.append(np.unique(own) if len(own) else np.zeros(1, np.uint64))
+        if sets:
+            hashes = long_list(np.concatenate(sets).view(np.int64), np.array([len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), hashes], names=["doc_id", "label", "hashes"])
+
+
+def _originals(table: pa.Table) -> pa.Table:
+    """Of one label's rows, by ascending id: those that are not alike to one that stays."""
+    lists = table.column("hashes").combine_chunks()
+    ids, sizes = table.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    sets = ShingleSets(lists.values.to_numpy().view(np.uint64), sizes)
+    ids, stays = ids[sets.order], np.ones(len(sizes), bool)
+    for i in np.argsort(ids, kind="stable").tolist():
+        if stays[i]:
+            lo, hi = sets.within(i, COPY)
+            stays[lo:hi] &= ~(sets.alike(i, lo, hi, COPY) & (ids[lo:hi] > ids[i]))
+    return pa.table({"doc_id": ids[stays], "label": pa.array(np.full(int(stays.sum()), table.column("label")[0].as_py(), np.float64))})
 
 
 def _without_copies(sampled: DataFrame) -> DataFrame:
-    """The sampled rows less those that share a min-hash with a row of smaller id."""
-    names = [f"sketch{k}" for k in range(SKETCHES)]
-    rows = sampled.select("doc_id", "text", "label").mapInArrow(_sketched, "doc_id long, text string, label double, " + ", ".join(f"{k} long" for k in names))
-    rows = written(rows, "sketched")
-    for name in names:
-        rows = rows.join(rows.groupBy(name).agg(F.min("doc_id").alias("__least")), name).where("doc_id = __least").drop("__least")
-    return rows.select("doc_id", "text", "label")
+    """The sampled rows less those whose windows are alike to a staying row's of the same label and smaller id.
+
+    The sample is bounded, so the window hashes of a label's rows are held by one task and all pairs compared.
+    """
+    rows = written(sampled.select("doc_id", "text", "label"), "labelled")
+    sets = rows.mapInArrow(_window_sets, "doc_id long, label double, hashes array<long>")
+    kept = written(sets.groupBy("label").applyInArrow(_originals, "doc_id long, label double").distinct(), "originals")
+    return rows.join(F.broadcast(kept), ["doc_id", "label"]).select("doc_id", "text", "label")
 
 
 def _levelled(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -161,6 +161,17 @@ def test_toxicity_scores(spark, labelled):
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == {k for k in range(400) if k % 5} | {1000, 1001, 1002}
 
 
+def test_toxicity_drops_only_copies(spark):
+    shared = "one passage that very many texts of the table share word for word"
+    own = [f"{shared} {prose(60, k + 1)}" for k in range(40)]
+    rows = [(k, t, float(k % 2)) for k, t in enumerate(own)]
+    long = own[2] + " " + prose(60, 90)
+    rows += [(100, own[3], 1.0), (101, own[3], 0.0), (102, long, 0.0), (103, long + " end", 0.0), (104, long + " end", 1.0), (105, "", 1.0), (106, None, 1.0), (107, " ", 0.0), (108, "a b", 0.0), (109, "a b", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label double").repartition(4)
+    kept = toxicity._without_copies(df)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r[0] for r in rows} - {100, 103, 106, 109})
+
+
 def test_block_max_is_exact():
     import numpy as np
 
