@@ -32,7 +32,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held_out = F.pmod(quality_classifier.crc(), F.lit(4)) == 2
-    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out, threshold=0.5).select(*COLUMNS)
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
