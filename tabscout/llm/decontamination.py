@@ -155,7 +155,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Byte starts and ends, hashes of the normalised words, and the first word of each text."""
     data = K.LOWER[data]
     starts, ends, first = K.spans(data, offsets, K.ALNUM)
-    return starts, ends, K.span_hashes(K.span_sums(data), starts, ends), first
+    return starts, ends, K.span_hashes(data, starts, ends), first
 
 
 def _hits(index: _Index, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:

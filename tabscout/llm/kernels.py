@@ -1,9 +1,13 @@
 """Words, their hashes and rolling window hashes of many texts at once, in numpy.
 
 All functions take UTF-8 bytes of texts laid end to end and the offsets of the texts. Separators are
-ASCII in every definition of a word used here, so bytes can stand for characters. Hashes are
-polynomials modulo 2**64 (Rabin-Karp) from prefix sums: the hash of any span costs one subtraction
-and one multiplication by an inverse power, whatever its length.
+ASCII in every definition of a word used here, so bytes can stand for characters.
+
+Words, lines and texts are hashed by multilinear sums modulo 2**64: each byte's random value times the
+random weight of its place, so that two different spans meet with a probability near 2**-64 whatever
+their pattern (a polynomial of the bytes would meet for some long words of two letters). Windows of few
+words are Rabin-Karp polynomials of such word hashes from prefix sums: a window costs one subtraction
+and one multiplication by an inverse power.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ ALNUM = _class(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_places = np.zeros(0, _U)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +62,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: A random value of each byte.
+_BYTES = mixed((np.arange(256, dtype=_U) + _U(1)) * _U(WORD_BASE))
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and for each text (and one more) the index of its first word."""
     n = len(data)
@@ -76,18 +85,37 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums for span_hashes()."""
-    power, _ = _powers(BYTE_BASE, len(data))
-    out = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=out[1:])
-    return out
+def _weights(n: int) -> np.ndarray:
+    """Pseudo-random weights of the places 0 .. n - 1 in a span."""
+    global _places
+    if len(_places) >= n:
+        return _places
+    table = mixed((np.arange(max(n, 1 << 12), dtype=_U) + _U(1)) * _U(BYTE_BASE))
+    if len(table) <= 1 << 22:  # a very long text's table is not kept
+        _places = table
+    return table
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of each span of bytes."""
-    _, inverse = _powers(BYTE_BASE, len(sums))
-    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+def _weighed(values: np.ndarray, table: np.ndarray | None, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each span: the sum of its values, each times the weight of its place, mixed with the span's length."""
+    sizes = ends - starts
+    out = np.zeros(len(starts), _U)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        own = sizes[full]
+        begin = np.cumsum(own) - own
+        total = int(begin[-1] + own[-1])
+        place = np.arange(total) - np.repeat(begin, own)
+        at = place + np.repeat(starts[full], own)
+        terms = values[at] if table is None else table[values[at]]
+        terms *= _weights(int(own.max()))[place]
+        out[full] = np.add.reduceat(terms, begin)
+    return mixed(out + sizes.astype(_U) * _U(WORD_BASE_2))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, whatever stands around it."""
+    return _weighed(data, _BYTES, starts, ends)
 
 
 def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,17 +125,17 @@ def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return begin + np.arange(len(begin)), counts
 
 
-def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = WORD_BASE) -> np.ndarray:
-    """A mixed 64-bit hash of each sequence of word hashes from a start to an end."""
-    power, inverse = _powers(base, len(words))
-    sums = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * power[: len(words)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each sequence of word hashes from a start to an end."""
+    return _weighed(words, None, starts, ends)
 
 
 def window_hashes(words: np.ndarray, starts: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
-    """A mixed 64-bit hash of `width` consecutive word hashes from each start."""
-    return sequence_hashes(words, starts, starts + width, base)
+    """A mixed 64-bit rolling hash of `width` consecutive word hashes from each start."""
+    power, inverse = _powers(base, len(words))
+    sums = np.zeros(len(words) + 1, _U)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    return mixed((sums[starts + width] - sums[starts]) * inverse[starts])
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:

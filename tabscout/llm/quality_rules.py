@@ -48,7 +48,7 @@ def normalised(data: np.ndarray) -> np.ndarray:
 
 def line_hashes(counts: TextCounts) -> np.ndarray:
     """A hash of each line's normalised words, whatever white space stands between and around them."""
-    words = K.span_hashes(K.span_sums(normalised(counts.data)), counts.starts, counts.ends)
+    words = K.span_hashes(normalised(counts.data), counts.starts, counts.ends)
     at = np.searchsorted(counts.starts, counts.line_starts)
     return K.sequence_hashes(words, at, at + counts.line_words)
 
@@ -58,7 +58,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         for _, _, data, offsets in text_pieces(batch.column(2)):
             c = TextCounts(data, offsets)
-            whole = K.span_hashes(c.sums, offsets[:-1], offsets[1:])
+            whole = K.span_hashes(data, offsets[:-1], offsets[1:])
             parts.append([c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, c.n_lines, whole, line_hashes(c), c.line_words])
         if not parts:
             continue

@@ -53,8 +53,7 @@ class TextCounts:
         n = len(offsets) - 1
         self.data, self.offsets = data, offsets
         self.starts, self.ends, self.first = K.spans(data, offsets, K.SOLID)
-        self.sums = K.span_sums(data)
-        self.hashes = K.span_hashes(self.sums, self.starts, self.ends)
+        self.hashes = K.span_hashes(data, self.starts, self.ends)
         self.n_words = np.diff(self.first)
         lead = _LEAD[data]
         self.n_chars = _per_text(lead, offsets)
@@ -66,7 +65,7 @@ class TextCounts:
         twice, _ = _again(windows)
         self.n_repeat_words = K.sums_by_text(K.covered(len(self.starts), at[twice], 3), self.first)
         self.line_starts, self.line_ends, self.line_words, self.line_first = lines(data, offsets, self.starts)
-        exact = K.span_hashes(self.sums, self.line_starts, self.line_ends) ^ np.repeat(text, np.diff(self.line_first))
+        exact = K.span_hashes(data, self.line_starts, self.line_ends) ^ np.repeat(text, np.diff(self.line_first))
         self.n_lines = np.diff(self.line_first)
         _, later = _again(exact)
         self.n_dup_lines = K.sums_by_text(later, self.line_first)
