@@ -172,19 +172,66 @@ def test_toxicity_drops_only_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r[0] for r in rows} - {100, 103, 106, 109})
 
 
-def test_block_max_is_exact():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    terms = [np.sort(rng.choice(40, rng.integers(0, 8), replace=False)) for _ in range(500)]
-    counts = [rng.integers(1, 5, len(t)) for t in terms]
-    index = toxicity.BlockMaxIndex(rng.uniform(1, 3, 40), terms, counts, np.arange(500), rng.integers(0, 2, 500).astype(float))
-    queries = index.vectors([np.sort(rng.choice(40, 5, replace=False)) for _ in range(60)], [rng.integers(1, 5, 5) for _ in range(60)])
-    true = queries @ index.weights.T
-    for q, (at, cosines) in enumerate(index.neighbours(queries)):
-        kth = np.sort(true[q])[-toxicity.NEIGHBOURS]
-        expected = np.flatnonzero((true[q] >= kth - toxicity.TIE) & (true[q] > 0))
-        assert set(at) == set(expected) and (np.diff(cosines) <= 0).all()
+def brute_terms(text):
+    """Words and beginnings of words, each at the levels that its count reaches."""
+    import math
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    n = collections.Counter(words)
+    for w in words:
+        b = w.encode()
+        n.update((k, b[:k]) for k in toxicity.STEMS if len(b) > k)
+    return {(t, level): 1 + math.log(c) for t, c in n.items() for level in toxicity.LEVELS if c >= level}
+
+
+@pytest.mark.parametrize("gain", [True, False])
+def test_neighbours_are_brute_force_over_all_terms(spark, gain):
+    """Cosines over the examples' whole vocabulary: evidence and votes of every text that shares any term with an example."""
+    import math
+
+    texts = [f"{prose(12 + k % 30, k)} {'nasty' * (k % 4 == 0)} end{k % 3}ing" for k in range(160)] + ["", None, "???", "strange alpha1", "NASTY nasty"]
+    ids = list(range(len(texts)))
+    y = {k: int(k % 4 == 0) for k in range(0, 160, 2)}
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    vectors, every = {k: brute_terms(t) for k, t in zip(ids, texts)}, collections.Counter()
+    for v in vectors.values():
+        every.update(v.keys())
+    vocabulary = {t for k in y for t in vectors[k]}
+    weight = {t: math.log((1 + len(ids)) / (1 + every[t])) + 1 for t in vocabulary}
+    if gain:
+        n1, n0 = sum(y.values()), len(y) - sum(y.values())
+        for t in vocabulary:
+            a = sum(t in vectors[k] for k in y if y[k])
+            b = sum(t in vectors[k] for k in y if not y[k])
+            c, d = n1 - a, n0 - b
+            chi = (a * d - b * c) ** 2 * (n1 + n0) / ((a + b) * (c + d + 1) * n1 * n0)
+            more = max(chi - toxicity.LEAST_CHI, 0) if a * n0 > b * n1 else 0
+            weight[t] *= toxicity.FLOOR + more / (toxicity.HALF_CHI + more)
+
+    def unit(v):
+        v = {t: x * weight[t] for t, x in v.items() if t in vocabulary}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    units = {k: unit(v) for k, v in vectors.items()}
+    got = {r["doc_id"]: r for r in toxicity.scores(docs, labels, F.lit(True), gain=gain).collect()}
+    votes = {}
+    for k in ids:
+        cosine = {e: sum(x * units[e].get(t, 0) for t, x in units[k].items()) for e in y}
+        near = sorted((e for e in y if cosine[e] > 0), key=lambda e: (-round(min(cosine[e], 1), 5), e))
+        assert got[k]["evidence"] == near[: toxicity.EVIDENCE], k
+        kth = sorted(cosine.values())[-toxicity.NEIGHBOURS]
+        near = [e for e in near if cosine[e] >= kth - toxicity.TIE]
+        w = {e: 1 / (1.05 - round(min(cosine[e], 1), 5)) for e in near}
+        votes[k] = sum(w[e] * y[e] for e in near) / sum(w.values()) if near else None
+    assert votes[160] is votes[161] is votes[162] is None and got[163]["evidence"]
+    known = sorted((v, got[k]["score"]) for k, v in votes.items() if v is not None)
+    assert all(a[1] <= b[1] + 1e-9 for a, b in zip(known, known[1:]))  # the score is a non-decreasing function of the vote
+    by = collections.defaultdict(set)
+    for v, score in known:
+        by[round(v, 9)].add(round(score, 9))
+    assert all(len(x) == 1 for x in by.values())
 
 
 def test_quality_scores(spark, labelled):
