@@ -44,6 +44,53 @@ def test_substring_dedup(docs, window):
     assert got == kept_words([(r[0], r[1]) for r in awkward()], window)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 6])
+def test_substring_dedup_over_levels(spark, fan):
+    """Many batches and buckets, so that rows pass two to four levels; one window stands in every document."""
+    hot = prose(13, 77)
+    rows = [(k, f"{prose(30, k % 50)} {hot} {prose(20, k % 7)}") for k in range(300)] + [(None, hot), (5, hot), (5, prose(30, 5)), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = substring_dedup.remove_repeated(df, 13, batch_bytes=(1000, 1000), bucket_windows=(1200, 1200), fan=fan)
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()) == kept_words(rows, 13)
+
+
+def test_hot_windows_reach_a_bucket_once_a_batch():
+    """However many documents of a batch have a passage, its row has each window once."""
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": pa.array(range(2000), pa.int64()), "text": [prose(40, 1)] * 2000})
+    rows = substring_dedup._emitter(13, 1, 1)((pa.scalar(0),), table)
+    assert rows.num_rows == 1 and len(rows.column("hashes")[0].as_py()) == 7 * 28
+
+
+def thue_morse(n, a="a", b="b"):
+    x = a
+    flip = str.maketrans(a + b, b + a)
+    while len(x) < n:
+        x += x.translate(flip)
+    return x, x.translate(flip)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_long_words_of_two_letters_do_not_meet(spark, n):
+    """Words on which any polynomial hash modulo 2**64 collides."""
+    one, other = thue_morse(n)
+    tail = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}")]
+    df = spark.createDataFrame([(d, t, "h") for d, t in rows], "doc_id long, text string, source string")
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeated(df).collect()) == kept_words(rows, 13)
+    bench = spark.createDataFrame([(1, f"{one} " + tail)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontamination.contamination(df, bench).collect()} == {1: 13, 2: 12}
+    bench = spark.createDataFrame([(1, f"{one} " + " ".join(tail.split()[:9]))], "item_id long, text string")
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontamination.contamination(df, bench).collect()} == {1: (10, ["1"]), 2: (0, [])}
+    lines = spark.createDataFrame([(1, f"{one}\n{other}\n{one}", "h"), (2, f"{' '.join(one)}\n{' '.join(other)}", "h")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality_rules.rules(lines).collect()} == {1: 1, 2: 0}
+    spaced = [" ".join(x) for x in (one, other)]
+    many = [(k, f"{spaced[k % 2]}\n{prose(60, k)}", "h") for k in range(44)]
+    left = {r["doc_id"]: r["words_left"] for r in quality_rules.rules(spark.createDataFrame(many, "doc_id long, text string, source string"), most_documents=30).collect()}
+    assert set(left.values()) == {n + 60}
+
+
 def test_substring_intervals(docs):
     for r in substring_dedup.remove_repeated(docs, 13).collect():
         assert sum(x["end"] - x["start"] for x in r["removed"]) == r["n_removed"]
