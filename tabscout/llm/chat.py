@@ -1,10 +1,10 @@
 """Reply trees as chat-formatted conversations, with DataFrame operations only.
 
 A tree's rows name their parents. Iterative self-joins double the distance that each row sees upward
-(1, 2, 4, ... ancestors), and the same tables, from the longest distance to the shortest, then give
-every root-to-leaf path as rows (leaf, node): as many joins as the depth has bits, and as many rows as
-the paths have nodes. Branches are ranked by the sum of their rows' scores, and each chosen path
-becomes one conversation.
+(1, 2, 4, ... ancestors, with the sum of the scores on the way). By the same tables, from the longest distance
+to the shortest, each leaf climbs to its root and has the score of its branch: as many joins as the depth
+has bits, a row for each leaf. Branches are ranked, and only the chosen ones are then enumerated, as rows (leaf, node)
+by the same tables: as many rows as these paths have nodes. Each becomes one conversation.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. In roles and texts a backslash is doubled
 and `<|` becomes `<\\|`, in roles a line feed becomes `\\n`: no control string is left in them, and
@@ -41,22 +41,33 @@ def _same(a: DataFrame, b: DataFrame, node: str) -> Column:
 
 
 def _ancestors(nodes: DataFrame) -> list[DataFrame]:
-    """Tables (t, n, up): for k = 0, 1, ... the ancestor of each node 2**k steps up, where there is one.
+    """Tables (t, n, up, gain): for k = 0, 1, ... the ancestor of each node 2**k steps up, where there is one, and the scores from the parent up to it.
 
     Nodes on a cycle, or below one, are in a last table of their own length; see paths().
     """
-    own = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    own = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("score", F.lit(0.0)).alias("gain"))
     linked = nodes.where(F.col("parent").isNotNull()).select("tree", "node", "parent")
-    step = written(linked.join(own, _same(linked, own, "parent"), "left_semi").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("up")), "ancestors")
+    step = written(linked.join(own, _same(linked, own, "parent")).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("up"), "gain"), "ancestors")
     most = nodes.groupBy("tree").count().agg(F.max("count").alias("m")).first()["m"] or 0
     levels = [step]
     while 1 << (len(levels) - 1) <= most and not levels[-1].isEmpty():
-        a = levels[-1].select(F.col("t").alias("tree"), F.col("n").alias("from"), F.col("up").alias("mid"))
+        a = levels[-1].select(F.col("t").alias("tree"), F.col("n").alias("from"), F.col("up").alias("mid"), F.col("gain").alias("first"))
         b = levels[-1]
-        levels.append(written(a.join(b, _same(a, b, "mid")).select(F.col("tree").alias("t"), F.col("from").alias("n"), "up"), "ancestors"))
+        levels.append(written(a.join(b, _same(a, b, "mid")).select(F.col("tree").alias("t"), F.col("from").alias("n"), "up", (F.col("first") + F.col("gain")).alias("gain")), "ancestors"))
     return levels
 
 
+def _branches(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Rows (tree, leaf, node, score, depth): the root, the sum of the scores and the steps of each leaf's branch; `leaves` has tree, leaf and score."""
+    now = leaves.select("tree", "leaf", F.col("leaf").alias("node"), "score", F.lit(0).alias("depth"))
+    for k in range(len(levels) - 1, -1, -1):
+        step = levels[k]
+        climbed = F.col("up").isNotNull()
+        now = now.join(step, _same(now, step, "node"), "left").select("tree", "leaf", F.coalesce("up", "node").alias("node"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"), (F.col("depth") + F.when(climbed, 1 << k).otherwise(0)).alias("depth"))
+        now = written(now, "branches")
+    return now
+
+
 def paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """Rows (tree, leaf, up, node) of the best root-to-leaf paths of each tree; `up` steps above the leaf.
 
@@ -68,19 +79,16 @@ def paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     endless, levels = levels[-1], levels[:-1]  # empty, unless there are cycles
     parents = nodes.where(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("n"))
     leaves = nodes.join(parents, _same(nodes, parents, "node"), "left_anti")
-    leaves = leaves.join(endless, _same(leaves, endless, "node"), "left_anti")
-    found = written(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up")), "paths")
+    leaves = leaves.join(endless, _same(leaves, endless, "node"), "left_anti").select("tree", F.col("node").alias("leaf"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    if best is not None:
+        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "leaf"))
+        leaves = _branches(leaves, levels).withColumn("rank", rank).where(F.col("rank") <= best)
+    found = written(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("up")), "paths")
     for k in range(len(levels) - 1, -1, -1):
-        above = levels[k].withColumnRenamed("up", "above")
+        above = levels[k].select("t", "n", F.col("up").alias("above"))
         more = found.join(above, _same(found, above, "node")).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         found = written(found.unionByName(more), "paths")
-    if best is None:
-        return found
-    score = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    branches = found.join(score, _same(found, score, "node")).groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.max("up").alias("depth"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "leaf"))
-    chosen = branches.withColumn("rank", rank).where(F.col("rank") <= best).select(F.col("tree").alias("t"), F.col("leaf").alias("n"))
-    return found.join(chosen, _same(found, chosen, "leaf"), "left_semi")
+    return found
 
 
 def formatted(nodes: DataFrame, best: int | None = 1) -> DataFrame:
