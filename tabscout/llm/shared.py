@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,19 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, a folder of this machine (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """spark.checkpoint.dir of the session; only where that is unset and all runs on this machine, a folder of it (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "local")
+    if not folder and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or _own_folder()
+
+
+def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path of the shared folder, and the path in it, for tasks: any that Arrow can open (local, HDFS, S3, GCS)."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
