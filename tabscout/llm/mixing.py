@@ -5,7 +5,8 @@ source, the sums before each range give its offsets, and a running sum inside th
 row's place in its source. A source's budget is whole epochs of all its rows and then a cut at the
 exact word in the order of the keys.
 
-No task gathers a source: a hot one is many ranges. The driver reads one row for each source and range.
+No task gathers a source: a hot one is many ranges. Nothing comes to the driver. One task sees a row for each
+source (to share out the targets), and a window over the ranges of a source sees a row for each range.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ def size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def key(doc_id: Column, seed: int = SEED) -> Column:
+    """A hash-random key of 60 bits, of the MD5 of seed and id, so that other engines can give the same. Null: as the id "null"."""
+    return F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), F.lit(15)), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
     """Rows (source, source_size, target double) of rows (source, source_size), one for each source.
 
@@ -67,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     empty table gives no rows. Other columns of `docs` are not read.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), size(F.col(text_column)).alias("size"))
-    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))))
+    rows = rows.withColumn("key", key(F.col("doc_id"), seed))
     order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("size")]
     ranged = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     ranges = ranged.groupBy("source", "part").agg(F.sum("size").alias("words"))

@@ -135,7 +135,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, label_column: str
     train = written(train.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(FOLDS)).cast("int")), "labelled")
     about = train.agg(*(F.avg(k).alias(f"m_{k}") for k in STATISTICS), *(F.stddev_pop(k).alias(f"s_{k}") for k in STATISTICS)).first()
     mean = np.array([about[f"m_{k}"] or 0.0 for k in STATISTICS])
-    scale = np.array([about[f"s_{k}"] or 1.0 for k in STATISTICS])
+    scale = np.array([about[f"s_{k}"] or 0.0 for k in STATISTICS])
+    scale[scale <= 1e-9 * np.abs(mean)] = 1  # a constant, but for rounding
     features = _Map(mean, scale)
     parts = train.mapInArrow(_summer(features), "fold int, row int, sums array<double>")
     got = parts.groupBy("fold", "row").applyInArrow(_add, "fold int, row int, sums array<double>").collect()

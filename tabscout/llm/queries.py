@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tabscout.llm import chat, decontamination, mixing, pii, quality_classifier, quality_rules, simhash_dedup, substring_dedup, toxicity, warc
 
-from tabscout.llm.shared import written
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,8 +26,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = written(warc.bundles(table(spark, sf_dir, "pages")), "bundles")
-    out = warc.records(archives)
+    out = warc.records(warc.bundles(table(spark, sf_dir, "pages")))
     return out.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
@@ -156,5 +153,19 @@ NOT (base_failed OR n_symbols > {quality_rules.MOST_SYMBOLS} * word_chars OR n_d
 FROM b
 """
 
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, [{', '.join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1] AS w FROM d GROUP BY source),
+f AS (SELECT *, n * {mixing.MOST_EPOCHS} AS most, row_number() OVER (ORDER BY n * {mixing.MOST_EPOCHS} / w, source IS NULL, source) AS k, CAST(sum(n) OVER () AS DOUBLE) * {mixing.SHARE}::DOUBLE AS total, sum(w) OVER () AS all_w FROM s),
+o AS (SELECT *, total - CAST(coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS rest, all_w - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM f),
+l AS (SELECT *, w * rest >= most * open AS is_full FROM o),
+a AS (SELECT rest, open FROM l WHERE NOT is_full ORDER BY k LIMIT 1),
+t AS (SELECT l.source, l.n, CASE WHEN l.is_full OR a.open IS NULL THEN CAST(l.most AS DOUBLE) ELSE l.w * a.rest / a.open END AS target FROM l LEFT JOIN a ON true),
+p AS (SELECT d.*, t.n AS source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || left(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 15) AS BIGINT), doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM p)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken FROM q
+"""
+
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_pii": op2_pii, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_mixing": op5_mixing, "op6_simhash_dedup": op6_simhash_dedup, "op7_toxicity": op7_toxicity, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_quality_classifier": op10_quality_classifier}
-ORACLES = {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op5_mixing": OP5_SQL, "op8_quality_rules": OP8_SQL, "op9_substring_dedup": OP9_SQL}

@@ -54,6 +54,34 @@ def test_pii_patterns_find_more(spark):
     assert all(got[10 + i].startswith("found:33:") for i in range(3)) and got[40].startswith("found:") and got[20] == ""
 
 
+def test_pii_contexts_and_chains_have_no_end(spark):
+    """Context words that stand far away, and patterns that are only believed after several rounds."""
+    far = " " * 300
+    rows = [(k, f"customer{far}number{far}10.0.0.{k} seen") for k in range(6)] + [(10 + k, f"customer{far}number{far}KX-{k}4471{k} seen") for k in range(3)]
+    for hop, c in enumerate("abcdefg"):  # in each context stand the instances of its own hop and those of the next
+        for k in range(20):
+            for own in (hop, hop + 1):
+                rows.append((1000 * (hop + 1) + 100 * (own - hop) + k, f"of {c}first {c}second {f'10.9.8.{k}' if own == 0 else f'QQ-{own}88{k:02d}'} {c}third"))
+    got = {r["doc_id"]: r["s"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed(F.col("__spans")).alias("s")).collect()}
+    assert all("found:" in got[10 + k] for k in range(3))
+    assert all("found:" in got[1000 * (hop + 1) + 100 + k] for hop in range(7) for k in range(20))
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """Places over many blocks of matches."""
+    text = " ".join(f"a{k}@x.org {k % 256}.1.2.{k % 300} +1 (499) 555-{1000 + k}" for k in range(3000))
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.listed(pii.base(F.col("__spans"))).alias("s")).first()
+    assert r["s"] == base_spans(text)
+
+
+def test_pii_passes_on_any_columns(spark):
+    df = spark.createDataFrame([(1, "me@x.org", "a", "b", "c")], "doc_id long, text string, __spans_ string, __row string, __own string")
+    assert pii.redact(df).collect()[0].asDict() == {"doc_id": 1, "text": "[EMAIL]", "__spans_": "a", "__row": "b", "__own": "c"}
+    with pytest.raises(ValueError, match="__spans"):
+        pii.find(df.withColumnRenamed("__row", "__spans"))
+    assert pii.redact(df.withColumnRenamed("__row", "__spans")).columns == ["doc_id", "text", "__spans_", "__spans", "__own"]
+
+
 def test_redact(spark):
     rows = [(1, "Ask me@x.org or +1 (499) 555-6503."), (2, None), (3, ""), (4, "clean")]
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -77,6 +105,47 @@ def test_warc_round_trip(spark):
     assert sorted(r["record_id"] for r in found) == ["2", "8"] and {len(r["payload"]) for r in found} == {0, 400_000}
 
 
+def test_warc_files_are_read_by_range(spark, tmp_path, docs):
+    """Real files: each ends in its seek table, and a record costs its frame, even if the rest of the file is spoilt."""
+    pages = spark.createDataFrame([(k, "u", prose(4000, k)) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    index = warc.bundles(pages, folder=str(tmp_path / "archives"))
+    row = index.where("record_id = '31'").first()
+    assert row["path"].endswith(".warc.zst") and row["frame_bytes"] < 200_000
+    with open(row["path"], "r+b") as f:
+        data = f.read()
+        reader = warc.BundleReader(data)
+        assert len(reader.frames) > 3 and row["frame_start"] in [x[0] for x in reader.frames]
+        f.seek(0)
+        f.write(b"\0" * row["frame_start"] + data[row["frame_start"] : row["frame_start"] + row["frame_bytes"]])
+        f.truncate()
+    found = warc.lookup(index, ["31"]).collect()
+    assert [(r["record_id"], bytes(r["payload"]).decode()) for r in found] == [("31", prose(4000, 31))]
+    out = warc.records(warc.bundles(docs, "doc_id", "source", "text")).collect()  # nulls, repeats, long texts and clashing names
+    assert sorted(r["record_id"] for r in out) == sorted("null" if d is None else str(d) for d, *_ in awkward())
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from tabscout.llm import shared
+
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        pass
+
+    one = Session()
+    one.conf = Conf(**{"spark.master": "spark://host:7077"})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(one)
+    one.conf = Conf(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y"})
+    assert shared.shared_folder(one) == "hdfs://x/y"
+    assert shared.filesystem("file:/a/b")[1] == shared.filesystem("file:///a/b")[1] == shared.filesystem("/a/b")[1] == "/a/b"
+
+
 def test_warc_seek_table():
     w = warc.BundleWriter()
     for k in range(50):
@@ -119,6 +188,31 @@ def test_reply_tree_paths(spark):
     assert {r["leaf"] for r in chat.paths(df, 2).where("tree = 't'").collect()} == {5, 6}
 
 
+def test_ranking_does_not_make_every_path(spark, monkeypatch):
+    """A chain with a leaf at every node: the rows written for the best path grow with the nodes, not with their square."""
+    n, written = 300, []
+    nodes = [("t", k, k - 1 if k else None, 1.0) for k in range(n)] + [("t", n + k, k, 0.5) for k in range(n)]
+    df = spark.createDataFrame(nodes, "tree string, node long, parent long, score double")
+    real = chat.written
+    monkeypatch.setattr(chat, "written", lambda d, name: (out := real(d, name), written.append(out.count()))[0])
+    best = sorted(r["node"] for r in chat.paths(df, 1).collect())
+    assert best == [*range(n), 2 * n - 1] and max(written) <= 2 * n
+    scores = {}
+    for r in chat.paths(df, 3).collect():
+        scores[r["leaf"]] = scores.get(r["leaf"], 0) + (1.0 if r["node"] < n else 0.5)
+    assert scores == {2 * n - 1: n + 0.5, 2 * n - 2: n - 0.5, 2 * n - 3: n - 1.5}
+
+
+def test_chat_on_awkward_rows(spark, docs):
+    """Nulls, repeated rows, long texts, and columns whose names are used inside."""
+    rows = docs.withColumn("tree", F.lit("x")).withColumn("leaf", F.lit(3)).withColumn("t", F.lit(None).cast("string"))
+    out = chat.formatted(chat.chains(rows, "source", "doc_id", "lang", "text")).select("tree", "n_turns", chat.read_back(F.col("conversation")).alias("x")).collect()
+    expected = collections.defaultdict(list)
+    for d, t, lang, source, _ in sorted(awkward(), key=lambda r: (r[0] is not None, r[0] or 0, r[2] or "", r[1] or "")):
+        expected[source].append((lang or "", t or ""))
+    assert {r["tree"]: sorted(map(tuple, r["x"])) for r in out} == {k: sorted(v) for k, v in expected.items()}
+
+
 def test_long_chain(spark):
     df = spark.range(700).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
     r = chat.formatted(chat.chains(df)).first()
@@ -242,6 +336,89 @@ def test_quality_scores(spark, labelled):
     assert all((score[k] >= 0.5) == (k % 3 != 0) for k in range(400))
 
 
+def isotonic(points):
+    """Pooling, one pair at a time, until nothing violates the order."""
+    blocks = [[x, y, w] for x, y, w in sorted(points)]
+    k = 0
+    while k < len(blocks) - 1:
+        a, b = blocks[k], blocks[k + 1]
+        if a[1] >= b[1]:
+            w = a[2] + b[2]
+            blocks[k : k + 2] = [[(a[0] * a[2] + b[0] * b[2]) / w, (a[1] * a[2] + b[1] * b[2]) / w, w]]
+            k = max(k - 1, 0)
+        else:
+            k += 1
+    return blocks
+
+
+def brute_statistics(text):
+    import math
+
+    t = text or ""
+    w = [x for x in re.split("[\x20\x09-\x0d]+", t) if x]
+    lines = [x for x in t.split("\n") if x.strip("\x20\x09\x0a\x0b\x0c\x0d")]
+    wins = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    rep = {p for i in range(len(w) - 2) if wins[tuple(w[i : i + 3])] > 1 for p in range(i, i + 3)}
+    solid, n, chars, m = sum(map(len, w)), max(len(w), 1), max(len(t), 1), max(len(lines), 1)
+    count = lambda s: sum(c in s for c in t)
+    return [
+        math.log1p(len(w)), min(solid / n, 50), count("#*$%&|<>") / chars, count("0123456789") / chars, sum("A" <= c <= "Z" for c in t) / chars, count(".,;:!?") / n, count(".!?") / n, (len(lines) - len(set(lines))) / m, len(rep) / n,
+        len(set(w)) / n, math.log1p(len(w) / m), solid / chars, math.log1p(len(t)),
+    ]
+
+
+def test_quality_scores_are_brute_force(spark, labelled):
+    """Statistics, features, folds, ridge and calibration, all in one process and one matrix."""
+    import numpy as np
+
+    q = quality_classifier
+    docs, labels = labelled
+    got = {(r["doc_id"]): r["score"] for r in q.scores(docs, labels, ~held(spark, 5, 0)).collect()}
+    texts = docs.collect()
+    own = {r["doc_id"]: r["quality"] for r in labels.where(~held(spark, 5, 0)).collect() if r["quality"] is not None and r["doc_id"] is not None and r["doc_id"] != 7}
+    seven = [r["quality"] for r in labels.where(~held(spark, 5, 0) & (F.col("doc_id") == 7)).collect()]
+    if seven:
+        own[7] = int(sum(seven) / len(seven) >= 0.5)
+    fold = {r["d"]: r["f"] for r in spark.createDataFrame([(r["doc_id"],) for r in texts], "d long").selectExpr("d", f"int(pmod(xxhash64(d, {q.SEED}), {q.FOLDS})) AS f").collect()}
+    x = np.array([brute_statistics(r["text"]) for r in texts])
+    train = np.array([r["doc_id"] in own for r in texts])
+    y, folds = np.array([float(own.get(r["doc_id"], 0)) for r in texts]), np.array([fold[r["doc_id"]] for r in texts])
+    mean, scale = x[train].mean(axis=0), x[train].std(axis=0)
+    scale[scale <= 1e-9 * np.abs(mean)] = 1
+    rng = np.random.default_rng(q.SEED)
+    direction, phase = rng.standard_normal((x.shape[1], q.FEATURES)) / q.WIDTH, rng.uniform(0, 2 * np.pi, q.FEATURES)
+    z = np.hstack([np.sqrt(2 / q.FEATURES) * np.cos(np.clip((x - mean) / scale, -4, 4) @ direction + phase), np.ones((len(x), 1))])
+
+    def ridge(rows):
+        penalty = np.full(z.shape[1], max(rows.sum(), 1) * q.RIDGE)
+        penalty[-1] = 1e-9
+        return np.linalg.solve(z[rows].T @ z[rows] + np.diag(penalty), z[rows].T @ y[rows])
+
+    unseen = np.zeros(len(x))
+    for k in range(q.FOLDS):
+        unseen[folds == k] = z[folds == k] @ ridge(train & (folds != k))
+    bins = collections.defaultdict(list)
+    for r, label in zip(unseen[train], y[train]):
+        bins[int(np.floor(np.clip(r, -0.5, 1.5) * q.BINS / 2))].append((r, label))
+    blocks = isotonic([(np.mean([r for r, _ in v]), np.mean([label for _, label in v]), len(v)) for v in bins.values()])
+    expected = np.clip(np.interp(z @ ridge(train), [b[0] for b in blocks], [b[1] for b in blocks]), 0, 1)
+    assert all(abs(got[r["doc_id"]] - e) < 1e-6 for r, e in zip(texts, expected) if r["doc_id"] is not None)
+
+
+def test_scorers_on_awkward_rows(spark, docs):
+    """Nulls, ties, repeated rows, long texts and clashing names: a score for every row, the same for the same text."""
+    labels = spark.createDataFrame([(d, d % 2, int(d % 3 == 0)) for d in range(1, 15)], "doc_id long, quality int, toxic int")
+    for module in (toxicity, quality_classifier):
+        out = module.scores(docs, labels, F.lit(True)).collect()
+        assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(d for d, *_ in awkward()) and all(0 <= r["score"] <= 1 for r in out)
+        by = collections.defaultdict(set)
+        for r in out:
+            by[r["doc_id"]].add(round(r["score"], 12))
+        assert len(by[13]) == 1 and by[1] == by[2] == by[13]
+    kept = toxicity.keep_clean(docs, labels, F.lit(True))
+    assert kept.columns == docs.columns
+
+
 def test_scores_without_labels(spark, labelled):
     docs, labels = labelled
     none = labels.where("false")

@@ -199,6 +199,18 @@ def test_decontamination(spark, docs, monkeypatch, shard):
     assert got == expected
 
 
+def test_decontaminate_passes_on_any_columns(spark, monkeypatch):
+    """Names that the operator uses inside, in one shard and in many."""
+    names = ["row", "row_", "hits", "items", "marked_items", "marked_hits", "item", "shard"]
+    df = spark.createDataFrame([(1, prose(12, 5) + " and so on for quite a while after that, until the end of it all", *range(8)), (1, "clean", *range(8)), (None, None, *[None] * 8)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    bench = spark.createDataFrame([(k, prose(12, 5 + k)) for k in range(4)], "item_id long, text string")
+    for shard in (1 << 24, 50):
+        monkeypatch.setattr(decontamination, "SHARD_BYTES", shard)
+        out = decontamination.decontaminate(df, bench)
+        assert out.columns == df.columns
+        assert {(r["doc_id"], r["text"], *(r[n] for n in names)) for r in out.collect()} == {(1, " and so on for quite a while after that, until the end of it all", *range(8)), (1, "clean", *range(8)), (None, None, *[None] * 8)}
+
+
 @pytest.mark.parametrize("shard", [1 << 24, 200])
 def test_decontaminate_does_not_depend_on_shards(spark, monkeypatch, shard):
     monkeypatch.setattr(decontamination, "SHARD_BYTES", shard)
@@ -259,6 +271,26 @@ def test_mixing_hits_budgets(docs):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
 
 
+def test_mixing_takes_by_brute_force(spark, docs):
+    """Every row's words, from the sorted keys, the running sum and the cut."""
+    rows = awkward()
+    keys = {d: int(hashlib.md5(f"{mixing.SEED}:{'null' if d is None else d}".encode()).hexdigest()[:15], 16) for d in {r[0] for r in rows}}
+    target = {r["source_size"]: r["target"] for r in mixing.mix(docs).collect()}
+    sources = collections.defaultdict(list)
+    for d, t, _, source, _ in rows:
+        sources[source].append((keys[d], d is None, d or 0, len(words(t)), d))
+    expected = collections.Counter()
+    for own in sources.values():
+        size = sum(x[3] for x in own)
+        budget, done = int(target[size]), 0
+        epochs = budget // size if size else 0
+        rest = budget - epochs * size
+        for *_, n, d in sorted(own, key=lambda x: x[:4]):
+            expected[d, n, size, epochs * n + max(0, min(n, rest - done))] += 1
+            done += n
+    assert collections.Counter((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in mixing.mix(docs).collect()) == expected
+
+
 def test_targets_water_filling(spark):
     sizes = {"a": 100, "b": 10, "c": 1000, "d": 1, None: 50, "e": 0}
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
