@@ -10,6 +10,10 @@ return the columns of `documents`. Stages are written as Parquet in the shared f
 - mixing: words taken of each document for the target weights; documents of which none are taken go.
 
 n_chars is that of the text that a stage returns.
+
+All stages take the columns of `documents` by name and leave others out, whatever they are called. Repeated rows are
+worked on one by one, ties go by doc_id, an empty table gives an empty one, and long texts are taken whole. Null and
+empty texts and null ids: see each stage.
 """
 
 from __future__ import annotations
@@ -31,23 +35,28 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have the score of texts like no example; rows of one id go together, those without an id too."""
     held_out = F.pmod(quality_classifier.crc(), F.lit(4)) == 2
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are alike, and one of them stays. Rows without an id stay; rows of one id stay or go together."""
     return simhash_dedup.deduplicate(docs).select(*COLUMNS)
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no hits and stay; ids are only passed on."""
     return _documents(decontamination.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts stay null, empty ones empty; ids are only passed on."""
     return _documents(pii.redact(docs.select(*COLUMNS)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken). Null and empty texts have no words and go; a null source is a source, a null id an id."""
     return mixing.mix(docs).where("taken > 0")
 
 

@@ -26,6 +26,7 @@ TAB_SPELLINGS = ("\\t", "tab")
 NO_CHARACTER_SPELLINGS = ("", "null", "none")
 ANSWER_FIELDS = ("encoding", "delimiter", "quotechar", "escapechar", "doublequote", "has_header", "header_row_index", "footer_first_line", "columns", "confidence")
 ANCHOR_MAX_CHARS = 300
+FENCED_OBJECT = r"```(?:json)?\s*(\{.*\})\s*```"
 
 # --- fixed values: prompts and calls ---
 CHARS_PER_TOKEN = 1.81

@@ -10,7 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 BOMS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 
@@ -56,6 +56,12 @@ def tail_label(head: Column, label: Column) -> Column:
     return F.when(name == "utf-8-sig", "utf-8").when(name == "utf-16", utf16).when(name == "utf-32", utf32).otherwise(label)
 
 
+def python_tail_label(head: bytes, label: str | None) -> str | None:
+    """The same in Python."""
+    order = {"utf-8-sig": "utf-8", "utf-16": "utf-16-be" if head[:2] == codecs.BOM_UTF16_BE else "utf-16-le", "utf-32": "utf-32-be" if head[:4] == codecs.BOM_UTF32_BE else "utf-32-le"}
+    return order.get(canonical_name(label) or "", label)
+
+
 def tail_window(uncovered: Column, most: Column, unit: Column) -> Column:
     """Bytes of a tail window: at most `most`, never over the head, whole code units."""
     w = F.least(most, uncovered)
@@ -80,8 +86,73 @@ def utf8_suffix(data: Column) -> Column:
     return F.is_valid_utf8(F.substring(data, (skip + 1).cast("int"), F.length(data)).cast("string"))
 
 
+def _share(text: str, *ranges: tuple[int, int]) -> float:
+    """Share of the characters that are not ASCII in these ranges of code points."""
+    own = [ord(c) for c in text if ord(c) > 0x7F]
+    return sum(any(a <= c <= b for a, b in ranges) for c in own) / max(len(own), 1)
+
+
+_KANA, _JAPANESE = (0x3040, 0x30FF), ((0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xFF01, 0xFF60))
+
+
+def _japanese(text: str, data: bytes) -> bool:
+    return _share(text, _KANA) >= 0.2 and _share(text, *_JAPANESE) >= 0.9
+
+
+def _korean(text: str, data: bytes) -> bool:
+    return _share(text, (0xAC00, 0xD7A3)) >= 0.85
+
+
+def _leads(low: int, high: int):
+    """Do the characters' first bytes lie in the rows of punctuation and of the commonest characters?"""
+
+    def test(text: str, data: bytes) -> bool:
+        pairs, at = [], 0
+        while at < len(data) - 1:
+            if data[at] > 0x7F:
+                pairs.append(data[at])
+                at += 1
+            at += 1
+        return sum(0xA1 <= x <= 0xA3 or low <= x <= high for x in pairs) >= 0.85 * max(len(pairs), 1)
+
+    return test
+
+
+#: Codecs of two bytes a character, and whether what they decode reads like their language, in the order in which they are asked.
+_DOUBLE = (("euc_jp", _japanese), ("cp932", _japanese), ("euc_kr", _korean), ("gb18030", _leads(0xB0, 0xD7)), ("big5", _leads(0xA4, 0xC6)))
+
+
+def _cyrillic(data: bytes) -> str | None:
+    """cp1251 or koi8-r, by which of them makes most letters lower case; None if neither makes mostly letters."""
+    high = [b for b in data if b > 0x7F]
+    upper, lower = sum(0xC0 <= b <= 0xDF for b in high), sum(0xE0 <= b for b in high)
+    if upper + lower < 0.9 * len(high):
+        return None
+    return "koi8-r" if upper > lower else "cp1251"
+
+
+def _eight_bit(data: bytes) -> str:
+    """A codec for bytes that are no UTF-8. Latin letters beyond ASCII stand alone among others; those of other scripts follow each other."""
+    high = [n for n, b in enumerate(data) if b > 0x7F]
+    joined = sum(n + 1 < len(data) and data[n + 1] > 0x7F or n > 0 and data[n - 1] > 0x7F for n in high)
+    for label, reads in _DOUBLE if joined * 2 > len(high) or data.count(0x82) + data.count(0x83) > len(data) // 8 else ():
+        try:
+            text = codecs.getincrementaldecoder(label)().decode(data, final=False)
+        except UnicodeDecodeError:
+            continue
+        if reads(text, data):
+            return label
+    if joined * 4 > len(high) * 3 and len(high) >= 8 and (found := _cyrillic(data)):
+        return found
+    try:
+        data.decode("cp1252")
+        return "cp1252"
+    except UnicodeDecodeError:
+        return "latin-1"
+
+
 def detect(data: bytes) -> str:
-    """A label for a sample: its byte order mark, UTF-16 by its null bytes, UTF-8 (also if cut at its end), else a single-byte codec."""
+    """A label for a sample: its byte order mark, UTF-16 by its null bytes, UTF-8 (also if cut at its end), else a codec of Japanese, Korean, Chinese or Cyrillic text or of Latin letters."""
     for mark, label in BOMS:
         if data.startswith(mark):
             return label
@@ -93,12 +164,7 @@ def detect(data: bytes) -> str:
         codecs.getincrementaldecoder("utf-8")().decode(data, final=False)
         return "utf-8"
     except UnicodeDecodeError:
-        pass
-    try:
-        data.decode("cp1252")
-        return "cp1252"
-    except UnicodeDecodeError:
-        return "latin-1"
+        return _eight_bit(data)
 
 
 def decode(data: bytes, label: str | None) -> str:
@@ -119,6 +185,28 @@ def decoded(data: pa.Array, label: pa.Array) -> pa.Array:
     return pa.array([None if x is None else decode(x, e) for x, e in zip(data.to_pylist(), label.to_pylist())], pa.string())
 
 
+READ = StructType([StructField(k, StringType()) for k in ("encoding", "head_text", "tail_text")])
+
+
+def read_windows(head: bytes | None, tail: bytes | None, full: bool) -> tuple[str | None, str | None, str | None]:
+    """Encoding, head and tail as text. The tail (of a full head) is cut at its start to whole code units, and makes the encoding be detected anew where it is no UTF-8."""
+    if head is None:
+        return None, None, None
+    guess = detect(head)
+    own = tail or b"" if full else b""
+    unit = {"utf-16": 2, "utf-32": 4}.get((canonical_name(guess) or "")[:6], 1)
+    own = own[len(own) % unit :]
+    label = detect(head + own) if own and canonical_name(guess) == "utf-8" and not is_utf8_suffix(own) else guess
+    return label, decode(head, label), decode(own, python_tail_label(head, label)) if own else None
+
+
+@F.arrow_udf(READ)
+def read(head: pa.Array, tail: pa.Array, full: pa.Array) -> pa.Array:
+    """struct<encoding,head_text,tail_text> of the windows: read_windows()."""
+    rows = [dict(zip(("encoding", "head_text", "tail_text"), read_windows(*x))) for x in zip(head.to_pylist(), tail.to_pylist(), full.to_pylist())]
+    return pa.array(rows, pa.struct([(k, pa.string()) for k in ("encoding", "head_text", "tail_text")]))
+
+
 def matches_label(expected: Column, actual: Column) -> Column:
     """Does an expected encoding, as "latin-1 or cp1252 (not utf-8)", name the actual one?"""
     name = lambda x: F.coalesce(canonical(F.btrim(x)), F.lower(F.btrim(x)))
@@ -130,3 +218,4 @@ def matches_label(expected: Column, actual: Column) -> Column:
 #: Not to be inlined (see functions.fields).
 detected = detected.asNondeterministic()
 decoded = decoded.asNondeterministic()
+read = read.asNondeterministic()

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def split_fields(line: str | None, delimiter: str | None, quote: str | None) -> list[str] | None:
@@ -43,6 +43,31 @@ def field_counts(lines: pa.Array, delimiters: pa.Array, quote: pa.Array) -> pa.A
     return pa.array(rows, pa.list_(pa.list_(pa.int32())))
 
 
+_LINES = ArrayType(ArrayType(StringType()))
+SPLITS = ArrayType(StructType([StructField("counts", ArrayType(IntegerType())), StructField("rows", _LINES), StructField("fields", _LINES), StructField("bare", _LINES)]))
+_ARROW_LINES = pa.list_(pa.list_(pa.string()))
+_ARROW_SPLITS = pa.list_(pa.struct([("counts", pa.list_(pa.int32())), ("rows", _ARROW_LINES), ("fields", _ARROW_LINES), ("bare", _ARROW_LINES)]))
+
+
+@F.arrow_udf(SPLITS)
+def splits(head: pa.Array, end: pa.Array, bare: pa.Array, keys: pa.Array, bare_keys: pa.Array, delimiters: pa.Array, asked: pa.Array, quote: pa.Array) -> pa.Array:
+    """For each delimiter tried: field counts of the head's lines by the quote asked for, and the fields of the head's, of the end's and of the stripped end's lines.
+
+    The end's lines are followed by the keys, which go by delimiter. All splitting that grounding needs is here, so
+    that rows go to Python once.
+    """
+    out = []
+    for h, e, b, ks, bks, ds, q1, q2 in zip(*(x.to_pylist() for x in (head, end, bare, keys, bare_keys, delimiters, asked, quote))):
+        own = []
+        for k, d in enumerate(ds or []):
+            rows = [split_fields(x, d, q2) for x in h or []]
+            counted = rows if q1 == q2 else [split_fields(x, d, q1) for x in h or []]
+            more, bare_more = (x[k] if x and x[k] else [] for x in (ks, bks))
+            own.append({"counts": [None if f is None else len(f) for f in counted], "rows": rows, "fields": [split_fields(x, d, q2) for x in [*(e or []), *more]], "bare": [split_fields(x, d, q2) for x in [*(b or []), *bare_more]]})
+        out.append(own)
+    return pa.array(out, _ARROW_SPLITS)
+
+
 class DelimitedLines:
     """Table function delimited_lines(text, delimiter, quote): rows (line_no, line, fields)."""
 
@@ -68,3 +93,4 @@ def register(spark: SparkSession) -> None:
 #: Not to be inlined where the optimiser would run them again, or inside a lambda, where they cannot run.
 split_rows = split_rows.asNondeterministic()
 field_counts = field_counts.asNondeterministic()
+splits = splits.asNondeterministic()

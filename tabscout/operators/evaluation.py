@@ -1,7 +1,8 @@
 """Evaluation: results against ground truth, votes of repeats, summaries. DataFrame queries throughout.
 
 `evaluations` has the columns of a run file's evaluation lines (see sources.runs). Comparisons are rows
-(fixture, field, ...), so every score is one group-by, and large runs need no driver-side loop.
+(fixture, field, ...), so every score is one group-by; the driver gets scores, and of a report the verdict of
+each fixture.
 """
 
 from __future__ import annotations
@@ -137,9 +138,9 @@ def verdicts(evaluations: DataFrame, stats: DataFrame) -> DataFrame:
 def repeat_stats(evaluations: DataFrame) -> dict[str, Any]:
     """Majority score, majority and agreement by field, disagreeing fixtures and verdicts of a run. Known limitations and fixtures that all failed only have a verdict."""
     stats = field_stats(votes(evaluations))
-    told = verdicts(evaluations, stats).collect()
-    scored = [r["fixture"] for r in told if not r["known_limitation"] and r["verdict"] not in ("error", "unscored")]
-    own = stats.join(evaluations.sparkSession.createDataFrame([(x,) for x in scored], "fixture string"), "fixture")
+    judged = verdicts(evaluations, stats)
+    own = stats.join(judged.where(~F.col("known_limitation") & ~F.col("verdict").isin("error", "unscored")).select("fixture"), "fixture", "left_semi")
+    told = judged.collect()  # one row a fixture: the report lists them
     by_field = {r["field"]: r for r in own.groupBy("field").agg(F.avg(F.col("majority").cast("double")).alias("m"), F.avg("agreement").alias("a")).collect()}
     score = own.groupBy("fixture").agg(F.avg(F.col("majority").cast("double")).alias("s")).agg(F.avg("s").alias("s")).first()["s"]
     return {
@@ -155,6 +156,16 @@ def field_scores(evaluations: DataFrame) -> DataFrame:
     return both.groupBy("field").agg(F.avg("hit").alias("score"))
 
 
+def latencies(rows: DataFrame, by: str, seconds: str) -> DataFrame:
+    """Rows (by, p50, p95, slowest): exact percentiles, interpolated."""
+    return rows.groupBy(by).agg(F.percentile(seconds, 0.5).alias("p50"), F.percentile(seconds, 0.95).alias("p95"), F.max(seconds).alias("slowest"))
+
+
+def usage_totals(rows: DataFrame, by: str, tokens: str, retried: Column) -> DataFrame:
+    """Rows (by, tokens, attempts, retries) of attempts: the sum of what was reported, null if nothing was."""
+    return rows.groupBy(by).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("attempts"), F.count_if(retried).alias("retries"))
+
+
 def error_class(message: Column) -> Column:
     return F.split_part(message, F.lit(":"), F.lit(1))
 

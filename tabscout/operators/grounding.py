@@ -1,6 +1,6 @@
 """Grounding: what an answer says, recomputed from the sampled text. Array expressions on one row a file.
 
-Only the splitting of lines into fields leaves the JVM (Arrow). ground() adds one step after another, so
+Only the splitting of lines into fields leaves the JVM, once (Arrow). ground() adds one step after another, so
 that each intermediate value is computed once.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabscout import constants as C
 from tabscout.functions import codecs, text
-from tabscout.functions.fields import field_counts, split_rows
+from tabscout.functions.fields import splits
 
 _STRINGS = "array<string>"
 #: What ground() returns of an answer.
@@ -150,22 +150,24 @@ def ground(df: DataFrame) -> DataFrame:
     a = F.col("answer")
     rows = df.withColumn("__head", text.lines(text.without_bom(F.col("head_text")))).withColumn("__text", F.concat("head_text", F.coalesce("tail_text", F.lit(""))))
     candidates = F.concat(F.array(a["delimiter"]), F.array(*(F.lit(d) for d in C.CANDIDATE_DELIMITERS)))
-    rows = rows.withColumn("__tried", candidates)
-    rows = rows.withColumn("__counts", field_counts(F.col("__head"), F.col("__tried"), a["quotechar"]))
-    scores = F.zip_with("__tried", "__counts", lambda d, n: F.struct(d.alias("delimiter"), text.modal_width(n)["agreeing"].alias("agreeing")))
+    ended = F.when(F.col("tail_text").isNotNull(), text.lines(F.col("tail_text"))).when(F.col("covers_whole_file"), F.col("__head"))
+    reported = text.strip(a["footer_first_line"])
+    quote = F.when((a["quotechar"] != '"') & ~F.contains(F.col("__text"), a["quotechar"]), '"').otherwise(a["quotechar"])
+    rows = rows.withColumns({"__tried": F.when(a.isNotNull(), F.array_distinct(candidates)), "__end": ended, "__q": quote, "__reported": reported})
+    keys = lambda d: F.when(a["delimiter"] != d, F.array(F.col("__reported"), F.replace(F.col("__reported"), a["delimiter"], d))).otherwise(F.array(F.col("__reported")))
+    every = F.transform("__tried", lambda d: F.when(F.col("__reported").isNotNull(), F.array_distinct(keys(d))))
+    rows = rows.withColumns({"__end_bare": F.transform("__end", text.strip), "__keys_by": every})
+    bare_keys = F.transform("__keys_by", lambda k: F.transform(k, text.strip))
+    rows = rows.withColumn("__splits", splits(F.col("__head"), F.col("__end"), F.col("__end_bare"), F.col("__keys_by"), bare_keys, F.col("__tried"), a["quotechar"], F.col("__q")))
+    scores = F.zip_with("__tried", "__splits", lambda d, s: F.struct(d.alias("delimiter"), text.modal_width(s["counts"])["agreeing"].alias("agreeing")))
     taken = F.array_compact(F.array(a["quotechar"], a["escapechar"]))
     rows = rows.withColumn("__scores", scores)
     rows = rows.withColumn("__d", delimiter(a["delimiter"], F.col("__scores"), F.contains(F.col("head_text"), a["delimiter"]), taken))
-    rows = rows.withColumn("__q", F.when((a["quotechar"] != '"') & ~F.contains(F.col("__text"), a["quotechar"]), '"').otherwise(a["quotechar"]))
-    rows = rows.withColumn("__rows", split_rows(F.col("__head"), F.col("__d"), F.col("__q")))
-    ended = F.when(F.col("tail_text").isNotNull(), text.lines(F.col("tail_text"))).when(F.col("covers_whole_file"), F.col("__head"))
-    rows = rows.withColumn("__end", ended)
-    reported = text.strip(a["footer_first_line"])
-    keys = F.when(a["delimiter"] != F.col("__d"), F.array(reported, F.replace(reported, a["delimiter"], F.col("__d")))).otherwise(F.array(reported))
-    rows = rows.withColumn("__keys", F.when(reported.isNotNull(), F.array_distinct(keys)))
+    chosen = F.get("__splits", (F.array_position("__tried", F.col("__d")) - 1).cast("int"))
+    rows = rows.withColumns({"__chosen": chosen, "__keys": F.get("__keys_by", (F.array_position("__tried", F.col("__d")) - 1).cast("int"))})
     several = F.concat(F.coalesce("__end", F.expr("CAST(array() AS array<string>)")), F.coalesce("__keys", F.expr("CAST(array() AS array<string>)")))
-    rows = rows.withColumn("__all", several)
-    rows = rows.withColumn("__fields", split_rows(F.col("__all"), F.col("__d"), F.col("__q"))).withColumn("__bare", split_rows(F.transform("__all", text.strip), F.col("__d"), F.col("__q")))
+    rows = rows.withColumns({"__all": several, "__rows": F.col("__chosen.rows"), "__fields": F.col("__chosen.fields"), "__bare": F.col("__chosen.bare")})
+    reported = F.col("__reported")
     rows = rows.withColumn("__extends", F.zip_with("__all", "__bare", text.extends_footer))
     n = F.size("__end")
     rows = rows.withColumn("__width", data_width(F.col("__end"), F.slice("__fields", F.lit(1), F.greatest(n, F.lit(0)))))

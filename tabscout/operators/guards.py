@@ -13,16 +13,31 @@ from pyspark.sql import functions as F
 from tabscout import constants as C
 
 
-def select_fixtures(manifest: DataFrame, categories: list[str] | None = None, names: list[str] | None = None, first: int | None = None) -> DataFrame:
-    """Fixtures of these categories and names, sorted, the first few. Unknown names are a ValueError, and so is no fixture."""
+def unknown(wanted: DataFrame, manifest: DataFrame, key: str = "fixture") -> DataFrame:
+    """The wanted rows that the manifest lacks."""
+    return wanted.join(manifest, key, "left_anti")
+
+
+def held(planned: DataFrame, recorded: DataFrame, key: str | list[str] = "fixture") -> DataFrame:
+    """The planned rows that a recorded run holds."""
+    return planned.join(recorded, key, "left_semi")
+
+
+def select_fixtures(manifest: DataFrame, categories: list[str] | None = None, names: list[str] | None = None, first: int | None = None, subset: str | None = None) -> DataFrame:
+    """Fixtures of these categories and names, sorted, the first few. Unknown names are a ValueError, and so is no fixture.
+
+    subset: a name in the manifest's column `subsets` (array<string>).
+    """
     spark = manifest.sparkSession
     out = manifest
     if names is not None:
         wanted = spark.createDataFrame([(n,) for n in names], "fixture string")
-        unknown = [r["fixture"] for r in wanted.join(manifest, "fixture", "left_anti").orderBy("fixture").collect()]
-        if unknown:
-            raise ValueError(f"unknown fixtures: {', '.join(unknown)}")
-        out = out.join(wanted, "fixture", "left_semi")
+        missing = [r["fixture"] for r in unknown(wanted, manifest).orderBy("fixture").collect()]
+        if missing:
+            raise ValueError(f"unknown fixtures: {', '.join(missing)}")
+        out = held(out, wanted)
+    if subset is not None:
+        out = out.where(F.array_contains("subsets", subset))
     if categories is not None:
         out = out.where(F.col("category").isin(categories))
     out = out.orderBy("fixture")
@@ -43,11 +58,23 @@ def calls_made(attempts: Column, retries: Column, failed: Column, worst: Column)
 
 
 def within_budget(planned: DataFrame, most: int, order: str, calls: str) -> DataFrame:
-    """The files, in order, before the first whose calls would exceed the budget: a run stops there and skips none.
+    """The files, in order, before the first whose calls would exceed the budget: a run stops there and skips none. `used` is the running sum.
 
-    The running sum is over one row a planned file.
+    Files are range-sorted, the sums of the ranges before give each range's start, and only ranges of which
+    some file can be within the budget are summed row by row.
     """
-    return planned.withColumn("used", F.sum(calls).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= most)
+    ranged = planned.repartitionByRange(order).withColumn("__range", F.spark_partition_id()).persist()
+    sums = ranged.groupBy("__range").agg(F.sum(calls).alias("s"), F.min(order).alias("first")).orderBy("first")
+    starts, total = [], 0
+    for r in sums.select("__range", "s").toLocalIterator():  # one row a range
+        if total > most:
+            break
+        starts.append((r["__range"], total))
+        total += r["s"]
+    before = F.broadcast(planned.sparkSession.createDataFrame(starts, "__range int, __before long"))
+    own = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(before, "__range").withColumn("used", F.col("__before") + F.sum(calls).over(own))
+    return out.where(F.col("used") <= most).drop("__range", "__before")
 
 
 class CallBudget:
@@ -84,9 +111,19 @@ class RateLimiter:
 
 
 def rate_window(calls: DataFrame, key: str, at: str, seconds: int = C.RATE_WINDOW_SECONDS) -> DataFrame:
-    """`calls` with n_recent: calls of the key in the window that ends with each."""
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
-    return calls.withColumn("n_recent", F.count("*").over(w))
+    """`calls` with n_recent: calls of the key in the window that ends with each.
+
+    Calls are counted by second and window length, so that a hot key is many small groups: a second looks back
+    into its own stretch of time and the one before.
+    """
+    second = F.unix_seconds(F.col(at).cast("timestamp"))
+    counts = calls.groupBy(F.col(key).alias("__key"), second.alias("__at")).agg(F.count("*").alias("__n"))
+    stretch = F.floor(F.col("__at") / (seconds + 1))
+    both = counts.withColumn("__own", F.lit(True)).withColumn("__stretch", stretch).unionByName(counts.withColumn("__own", F.lit(False)).withColumn("__stretch", stretch + 1))
+    w = Window.partitionBy("__key", "__stretch").orderBy("__at").rangeBetween(-seconds, 0)
+    recent = both.withColumn("n_recent", F.sum("__n").over(w)).where("__own").select("__key", "__at", "n_recent")
+    rows = calls.withColumn("__second", second)
+    return rows.join(recent, F.col(key).eqNullSafe(F.col("__key")) & F.col("__second").eqNullSafe(F.col("__at"))).select(*calls.columns, "n_recent")
 
 
 def replay_answers(evaluations: DataFrame) -> DataFrame:

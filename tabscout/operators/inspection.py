@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabscout import constants as C
 from tabscout import errors
-from tabscout.operators import answers, grounding, invokers, prompts, sampling
+from tabscout.operators import grounding, invokers, prompts, sampling
 from tabscout.sources import windows
 
 
@@ -18,22 +18,25 @@ def _failure(kind: str, message) -> Any:
     return F.struct(F.lit(kind).alias("class"), message.alias("message"), F.expr("CAST(map() AS map<string,string>)").alias("attempts"))
 
 
-def inspect_windows(df: DataFrame, invoker: invokers.Invoker = invokers.heuristic, model: str = "heuristic", fallback: str | None = None, budget: float | None = None, head_bytes: int = C.DEFAULT_HEAD_BYTES, tail_bytes: int = C.DEFAULT_TAIL_BYTES, secret: str | None = None) -> DataFrame:
+def inspect_windows(df: DataFrame, invoker: invokers.Invoker = invokers.heuristic, model: str = "heuristic", fallback: str | None = None, budget: float | None = None, head_bytes: int = C.DEFAULT_HEAD_BYTES, tail_bytes: int = C.DEFAULT_TAIL_BYTES, secret: str | None = None, **calls: Any) -> DataFrame:
     """`df` (size, head, tail, others) with result, usage, error, diagnostics and answer; one row a file.
 
-    Files that could not be read (`read_error`) or are empty get their error and no call.
+    Files that could not be read (`read_error`) or are empty get their error and no call. calls: options of invokers.invoke(); a
+    `recorded` column is not passed on. Columns of `df` that have the name of one of the results are an error.
     """
+    clash = {"encoding", "head_text", "tail_text", "covers_whole_file", "lines_omitted", "prompt", "raw", "answer", "result", "usage", "error", "raw_responses", "diagnostics"} & set(df.columns)
+    if clash:
+        raise ValueError(f"columns in the way of the results: {', '.join(sorted(clash))}")
     if budget is not None and budget <= 0:
         raise ValueError("the time budget must be above 0")
-    own = [c for c in df.columns if c not in ("head", "tail")]
+    own = [c for c in df.columns if c not in ("head", "tail", calls.get("recorded"))]
     rows = sampling.sample(df, head_bytes, tail_bytes)
     unread = F.col("read_error") if "read_error" in df.columns else F.lit(None).cast("string")
     early = F.when(unread.isNotNull(), _failure("FileSampleReadError", unread)).when(F.coalesce(F.octet_length("head"), F.lit(0)) == 0, _failure("EmptySampleError", F.lit("the source is empty")))
     rows = rows.withColumn("__early", early)
     text = prompts.prompt(F.col("head_text"), F.col("tail_text"), F.col("covers_whole_file"), F.col("encoding"))
     rows = rows.withColumn("prompt", F.when(F.col("__early").isNull(), text)).drop("head", "tail")
-    rows = invokers.invoke(rows, invoker, model, fallback, budget, secret)
-    rows = rows.withColumn("__p", answers.parsed(F.col("raw"))).withColumn("answer", F.col("__p.answer")).drop("__p")
+    rows = invokers.invoke(rows, invoker, model, fallback, budget, secret, **calls)
     rows = grounding.ground(rows).withColumn("error", F.coalesce("__early", "error"))
     return rows.select(*own, "encoding", "head_text", "tail_text", "covers_whole_file", "lines_omitted", "prompt", "answer", "result", "usage", "error", "raw_responses", "diagnostics")
 

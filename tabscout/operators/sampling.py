@@ -54,17 +54,11 @@ def sample(windows: DataFrame, head_bytes: int = C.DEFAULT_HEAD_BYTES, tail_byte
     check_budget("head_bytes", head_bytes, 1)
     check_budget("tail_bytes", tail_bytes, 0)
     full = F.octet_length("head") >= head_bytes
-    rows = windows.withColumn("__guess", codecs.detected(F.col("head")))
-    unit = codecs.unit_size(F.col("__guess"))
+    rows = windows.withColumn("__read", codecs.read(F.col("head"), F.col("tail"), full))
     length = F.octet_length("tail")
-    aligned = (length - length % unit).cast("int")
-    rows = rows.withColumn("__tail", F.when(full & (aligned > 0), F.substring(F.col("tail"), (length - aligned + 1).cast("int"), aligned)))
-    again = (codecs.canonical(F.col("__guess")) == "utf-8") & F.col("__tail").isNotNull() & ~codecs.utf8_suffix(F.col("__tail"))
-    rows = rows.withColumn("encoding", F.when(again, codecs.detected(F.concat("head", F.coalesce("__tail", F.lit(b""))))).otherwise(F.col("__guess")))
     reached = F.col("tail").isNotNull() & ((F.coalesce(length, F.lit(0)) > 0) | (F.lit(tail_bytes != 0) & (F.col("size").isNull() | (F.col("size") <= F.octet_length("head")))) | F.coalesce(F.col("size") == F.octet_length("head"), F.lit(False)))
     rows = rows.withColumn("covers_whole_file", F.when(full, F.coalesce(reached, F.lit(False))).otherwise(F.lit(True)))
-    head = codecs.decoded(F.col("head"), F.col("encoding"))
-    rows = rows.withColumn("__head_text", head).withColumn("__tail_text", F.when(F.col("__tail").isNotNull(), codecs.decoded(F.col("__tail"), codecs.tail_label(F.col("head"), F.col("encoding")))))
+    rows = rows.withColumns({"encoding": F.col("__read.encoding"), "__head_text": F.col("__read.head_text"), "__tail_text": F.col("__read.tail_text")})
     cut = full & (F.col("__tail_text").isNotNull() | ~F.col("covers_whole_file"))
     rows = rows.withColumn("__head_text", F.when(cut, text.trim_to_break(F.col("__head_text"))).otherwise(F.col("__head_text")))
     rows = rows.withColumn("__b", bounded(F.col("__head_text"), F.col("__tail_text"), F.col("covers_whole_file")))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tabscout import constants as C
 from tabscout.functions import codecs, fields, text
-from tabscout.operators import answers, evaluation, grounding, guards, inspection, prompts, reading, reports, sampling
-from tabscout.sources import fixtures
+from tabscout.operators import answers, evaluation, grounding, guards, inspection, prompts, reading, reports, runner, sampling
+from tabscout.sources import fixtures, runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,14 +56,17 @@ def tail_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def utf8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    return rows.select("doc_id", codecs.utf8_suffix(F.substring("b", 2, 4096)).alias("is_suffix"))
+    starts = F.filter(F.sequence(F.lit(0), F.octet_length("b"), F.lit(1000)), lambda at: at < F.octet_length("b"))
+    blocks = F.transform(starts, lambda at: F.substring(F.col("b"), at + 1, F.lit(1000)))
+    good = F.size(F.filter(blocks, codecs.utf8_suffix)).cast("long")
+    return rows.select("doc_id", F.size(blocks).cast("long").alias("n_blocks"), good.alias("n_suffixes"))
 
 
 # ---------------------------------------------------------------- fields, delimiters, shapes
 
 
 def delimiter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("NOT contains(text, '\"')")
+    rows = table(spark, sf_dir, "documents")
     tried = F.array(*(F.lit(d) for d in C.CANDIDATE_DELIMITERS))
     rows = rows.select("doc_id", tried.alias("d"), fields.field_counts(text.lines(F.col("text")), tried, F.lit('"')).alias("n"))
     scored = rows.select("doc_id", F.explode(F.zip_with("d", "n", lambda d, n: F.struct(d.alias("delimiter"), text.modal_width(n).alias("m")))).alias("s"))
@@ -71,7 +74,7 @@ def delimiter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delimiter_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("NOT contains(text, '\"')")
+    rows = table(spark, sf_dir, "documents")
     tried = F.concat(F.array(F.lit(";")), F.array(*(F.lit(d) for d in C.CANDIDATE_DELIMITERS)))
     rows = rows.select("doc_id", "text", tried.alias("d"), fields.field_counts(text.lines(F.col("text")), tried, F.lit('"')).alias("n"))
     scores = F.zip_with("d", "n", lambda d, n: F.struct(d.alias("delimiter"), text.modal_width(n)["agreeing"].alias("agreeing")))
@@ -117,9 +120,13 @@ def positional_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def totals_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.array(*(F.lit(x) for x in ("TOTAL;;;12.50", "Subtotal,,3", '"Total general",9', "Total registros: 250", "SUMA;;;1", "Totalmente nuevo,1,2", "Summary report", "Grand total:", "sub-total", "")))
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.get(lines, F.col("n_nationkey") % 10).alias("line"))
-    return rows.select("n_nationkey", "line", text.has_totals_label(F.col("line")).alias("labelled"), text.is_totals_label(F.col("line")).alias("bare"))
+    """Lines that begin with parts' names and containers, some put after a label word."""
+    k = F.col("p_partkey")
+    pick = lambda items, by: F.element_at(F.array(*(F.lit(x) for x in items)), (F.pmod(F.floor(k / by), F.lit(len(items))) + 1).cast("int"))
+    label = F.concat(pick(("", "sub", "Sub-", "GRAND ", "sub - ", "'"), 1), pick(("total", "Totals", "suma", "SUM", "totales", "net", "summit"), 6), pick(("", ":", " general", "d", " :", ";"), 42))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 9 == 0, F.col("p_name")).otherwise(label).alias("label"), F.col("p_type").alias("rest"))
+    line = F.concat("label", F.lit(";"), "rest")
+    return rows.select("p_partkey", text.has_totals_label(line).alias("labelled"), text.is_totals_label(F.col("label")).alias("bare"))
 
 
 def quote_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +184,8 @@ def dry_run_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("long")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_linenumber") % 2 == 0, q)).alias("tokens"), F.count("*").alias("attempts"), F.count_if(F.col("l_linenumber") > 1).alias("retries"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("reported", F.when(F.col("l_linenumber") % 2 == 0, q))
+    return evaluation.usage_totals(rows, "l_orderkey", "reported", F.col("l_linenumber") > 1)
 
 
 def call_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +296,8 @@ def eval_field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.max("value").alias("slowest"))
+    out = evaluation.latencies(table(spark, sf_dir, "events"), "event_type", "value")
+    return out.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "slowest")
 
 
 def eval_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +312,7 @@ def eval_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_verdict_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_lines(spark, sf_dir)
-    told = [evaluation.verdicts(half, evaluation.field_stats(evaluation.votes(half))) for half in (rows.where("repeat % 400 < 150 AND fixture <> 'f3'"), rows.where("repeat % 400 >= 250"))]
+    told = [evaluation.verdicts(half, evaluation.field_stats(evaluation.votes(half))) for half in (rows.where("hour(ts) < 12"), rows.where("hour(ts) >= 12"))]
     return reports.verdict_changes(*told)
 
 
@@ -314,21 +323,17 @@ def eval_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", " ", -1)
-    names = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("fixture"), F.slice(words, 1, 12).alias("expected"), F.slice(words, 7, 12).alias("actual"))
+    actual = F.filter(words, lambda x, i: i % 3 != 1)
+    names = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("fixture"), words.alias("expected"), actual.alias("actual"))
     out = evaluation.column_recall(names)
     return out.select("fixture", F.round("columns_recall", 6).alias("columns_recall"), "columns_count_match")
 
 
 def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the flagship's results against the ground truth, by field."""
-    kind = "struct<encoding:string,delimiter:string,quotechar:string,escapechar:string,doublequote:boolean,has_header:boolean,header_row_index:int,footer_lines:array<string>,footer_rows_to_skip:int,columns:array<string>>"
     texts = rendered_nations(spark, sf_dir)
-    rows = texts.select(F.col("c_nationkey").cast("string").alias("fixture"), F.col("text").cast("binary").alias("content"))
-    truth = F.struct(
-        F.lit("utf-8 or ascii (no mark)").alias("encoding"), F.col("d").alias("delimiter"), F.lit('"').alias("quotechar"), F.lit(None).cast("string").alias("escapechar"), F.lit(None).cast("boolean").alias("doublequote"), F.lit(True).alias("has_header"), F.lit(2).alias("header_row_index"),
-        F.array(F.lit(""), F.concat(F.lit("TOTAL"), "d", "d", F.col("n").cast("string"), F.col("d"))).alias("footer_lines"), F.lit(2).alias("footer_rows_to_skip"), F.array(F.lit("custkey"), F.lit("name"), F.lit("balance"), F.lit("segment")).alias("columns"),
-    ).cast(kind)
-    manifest = texts.select(F.col("c_nationkey").cast("string").alias("fixture"), truth.alias("expected"), F.array(*(F.lit(f) for f in C.RESULT_FIELDS)).alias("present"))
+    rows = texts.select(F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("fixture"), F.col("text").cast("binary").alias("content"))
+    manifest = _manifest(texts)
     out = evaluation.comparisons(inspection.inspect(spark, rows).select("fixture", "result"), manifest)
     return out.groupBy("field", "verdict").agg(F.count("*").alias("n"))
 
@@ -339,11 +344,11 @@ def select_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown_names_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return guards.unknown(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 def held_fixtures_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    return guards.held(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
 
 
 def replay_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,8 +358,88 @@ def replay_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
-    return rows.groupBy("day").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count(F.lit(1))).na.fill(0)
+    """Runs side by side: one for each type of event, with the counts and latencies of its events."""
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
+    summaries = {r["event_type"]: {"lines": r["n"], "fixtures_run": r["users"], "latency_seconds": {"p50": r["p50"], "p95": r["p95"]}, "category_scores": {r["event_type"]: r["n"] / 1e6}} for r in rows.orderBy("event_type").collect()}
+    return reports.table(spark, summaries)
+
+
+def repeat_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Majority and agreement of each field over the regular fixtures, from repeat_stats()."""
+    told = evaluation.repeat_stats(run_lines(spark, sf_dir))
+    return spark.createDataFrame([(f, round(m, 6), round(told["field_agreement"][f], 6)) for f, m in told["field_majority_scores"].items()], "field string, majority double, agreement double")
+
+
+def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_lines(spark, sf_dir)
+    return rows.select("repeat", F.round(evaluation.line_score(F.col("matched"), F.col("mismatched"), F.col("error")), 6).alias("score"))
+
+
+def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers as request ids: which are taken as they are."""
+    header = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("id "), F.col("event_id").cast("string"))).when(F.col("event_id") % 4 == 1, F.repeat(F.col("event_type"), F.col("event_id").cast("int") % 40)).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", header.rlike(rf"\A{C.REQUEST_ID}\z").alias("taken"))
+
+
+def escape_is_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose escape character is their quote, and answers with an anchor of several lines."""
+    i = F.col("event_id")
+    quote, escape = F.element_at(F.array(F.lit('"'), F.lit("'")), (i % 2 + 1).cast("int")), F.element_at(F.array(F.lit('"'), F.lit("'"), F.lit("~")), (i % 3 + 1).cast("int"))
+    anchor = F.when(i % 5 == 0, F.concat(F.lit("\\n  \\r\\n"), "event_type", F.lit("\\nmore"))).otherwise(F.col("event_type"))
+    raw = F.concat(
+        F.lit('{"encoding": "utf-8", "delimiter": ",", "quotechar": '), F.to_json(F.struct(quote.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(quote.alias("v")))) - 6), F.lit(', "escapechar": '), F.to_json(F.struct(escape.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(escape.alias("v")))) - 6),
+        F.lit(', "doublequote": false, "has_header": false, "header_row_index": null, "footer_first_line": "'), anchor, F.lit('", "columns": ["a"], "confidence": 0.5}'),
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", answers.parsed(raw).alias("p"))
+    return rows.select("event_id", F.col("p.answer.escapechar").alias("escapechar"), F.col("p.answer.doublequote").alias("doublequote"), F.col("p.answer.footer_first_line").alias("footer_first_line"), F.col("p.error.class").alias("error"))
+
+
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts hold the sampled lines between their marks, whole."""
+    rows = sampling.sample(sampling.windows_of(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))))
+    p = prompts.prompt(F.col("head_text"), F.col("tail_text"), F.col("covers_whole_file"), F.col("encoding"))
+    return rows.select("doc_id", (F.contains(p, F.col("head_text")) & F.coalesce(F.contains(p, F.col("tail_text")), F.lit(True))).alias("has_sample"), F.col("tail_text").isNotNull().alias("has_tail"))
+
+
+def _manifest(texts: DataFrame) -> DataFrame:
+    """Ground truth of rendered_nations()."""
+    truth = F.struct(
+        F.lit("utf-8 or ascii (no mark)").alias("encoding"), F.col("d").alias("delimiter"), F.lit('"').alias("quotechar"), F.lit(None).cast("string").alias("escapechar"), F.lit(None).cast("boolean").alias("doublequote"), F.lit(True).alias("has_header"), F.lit(2).alias("header_row_index"),
+        F.array(F.lit(""), F.concat(F.lit("TOTAL"), "d", "d", F.col("n").cast("string"), F.col("d"))).alias("footer_lines"), F.lit(2).alias("footer_rows_to_skip"), F.array(F.lit("custkey"), F.lit("name"), F.lit("balance"), F.lit("segment")).alias("columns"),
+    ).cast(runner.EXPECTED)
+    return texts.select(F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("fixture"), F.lit("nations").alias("category"), F.lit(False).alias("known_limitation"), truth.alias("expected"), F.array(*(F.lit(f) for f in C.RESULT_FIELDS)).alias("present"), F.lit(None).cast("string").alias("expected_error"))
+
+
+def _nation_run(spark: SparkSession, sf_dir: str, **options) -> tuple[str, DataFrame, DataFrame]:
+    """A run over rendered_nations() in a folder of its own: the folder, the windows and the manifest."""
+    texts = rendered_nations(spark, sf_dir)
+    windows = sampling.windows_of(texts.select(F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("fixture"), F.col("text").cast("binary").alias("content"))).drop("content")
+    manifest, path = _manifest(texts), runs.scratch(spark, "run")
+    runner.run(windows, manifest, path, **options)
+    return path, windows, manifest
+
+
+def run_loop_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two repeats with a budget of 31 calls, one a file: the first 31 files in order."""
+    path, _, _ = _nation_run(spark, sf_dir, repeats=2, max_calls=31)
+    return runs.read(spark, path)["evaluations"].select("fixture", "repeat", F.col("calls").cast("long").alias("calls"), F.round("score", 6).alias("score"), "error")
+
+
+def replay_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of a run that its budget stopped, replayed: as many files, the same scores, the rest skipped."""
+    path, windows, manifest = _nation_run(spark, sf_dir, max_calls=17)
+    summary = runner.replay(windows, manifest, path, f"{path}-replay")
+    return spark.createDataFrame([(summary["fixtures_run"], summary["replay_skipped"], summary["replay_of"] == path, round(summary["aggregate_score"], 6))], "fixtures long, skipped long, named boolean, score double")
+
+
+def summarize_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run without its summary line, recovered."""
+    path = runs.scratch(spark, "interrupted")
+    lines = run_lines(spark, sf_dir).select("*", F.lit(None).cast(runs.USAGE).alias("usage"), F.lit(1).alias("calls"), F.lit(None).cast("double").alias("columns_recall"), F.lit(None).cast("boolean").alias("columns_count_match"), F.expr("CAST(map() AS map<string,string>)").alias("attempt_errors")).drop("ts")
+    spark.createDataFrame([('{"run": {"model": "m", "fixtures_planned": 60}}',)], "value string").coalesce(1).write.text(path)
+    runs.append(lines, path)
+    s = runner.summarize_interrupted(spark, path)
+    return spark.createDataFrame([(s["incomplete"], s["stopped_early"], s["fixtures_planned"], s["fixtures_run"], s["lines"], s["errored_lines"], s["scored_lines"], round(s["aggregate_score"], 6))], "incomplete boolean, stopped_early string, planned long, fixtures long, lines long, errored long, scored long, score double")
 
 
 # ---------------------------------------------------------------- streaming
@@ -362,21 +447,17 @@ def metrics_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_rolling_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks, streamed, and folded to windows again."""
-    import os
-    import tempfile
-    import uuid
-
     from tabscout.streaming import rolling
 
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    path = runs.scratch(spark, "chunks")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stream"), F.encode("text", "UTF-8").alias("b"))
     n = F.ceil(F.octet_length("b") / 1000).cast("int")
     chunks = docs.select("stream", F.explode(F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(k.cast("long").alias("seq"), F.substring(F.col("b"), k * 1000 + 1, F.lit(1000)).alias("chunk"), (k == n).alias("eof")))).alias("c")).select("stream", "c.*")
-    chunks.write.parquet(f"{folder}/in")
-    stream = rolling.rolling_windows(spark.readStream.schema("stream string, seq long, chunk binary, eof boolean").parquet(f"{folder}/in"), head_bytes=512, tail_bytes=256)
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    chunks.write.parquet(f"{path}/in")
+    stream = rolling.rolling_windows(spark.readStream.schema("stream string, seq long, chunk binary, eof boolean").parquet(f"{path}/in"), head_bytes=512, tail_bytes=256)
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.schema(rolling.OUTPUT).parquet(f"{folder}/out")
+    out = spark.read.schema(rolling.OUTPUT).parquet(f"{path}/out")
     return out.select(F.col("stream").cast("long").alias("doc_id"), "size", F.md5("head").alias("head_md5"), F.md5("tail").alias("tail_md5"))
 
 
@@ -386,6 +467,6 @@ QUERIES = {
         inspect_rendered, ground_wrong_answers, headerless_detect, inspect_roundtrip_read, compare_results, line_count, line_bounds, trim_to_last_break, byte_windows, encoding_canonical, tail_alignment, utf8_suffix,
         delimiter_scores, delimiter_choice, split_fields_rfc4180, delimited_lines, field_shapes, rows_look_alike, positional_names, totals_labels, quote_evidence, json_payload, dialect_slips, answer_rule_violations,
         answers_parsed, prompt_sizes, dry_run_total, usage_tally, call_budget_prefix, rate_window, eval_scores_by, eval_field_scores, eval_percentiles, eval_votes, eval_verdicts, eval_verdict_changes, eval_error_classes,
-        column_recall, select_fixtures, unknown_names_anti, held_fixtures_semi, replay_join, metrics_pivot, stream_rolling_tail,
+        column_recall, select_fixtures, unknown_names_anti, held_fixtures_semi, replay_join, metrics_pivot, stream_rolling_tail, repeat_statistics, line_scores, request_ids, escape_is_quote, prompt_texts, run_loop_budget, replay_run, summarize_interrupted,
     )
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,14 @@ EVALUATION = (
 )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); without one, and on one machine only, in its temporary folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(top or os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Rows (path, line_no, line) of the lines that are not blank; numbers count from 1."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(text.lines(F.col("value"))).alias("n", "line"))
@@ -54,6 +64,28 @@ def load_summary(spark: SparkSession, path: str) -> dict[str, Any]:
     return json.loads(row["s"])
 
 
+def settings(spark: SparkSession, path: str) -> dict[str, Any]:
+    """The settings in a run's first line; RunFileError without."""
+    row = read(spark, path)["run"].orderBy("path", "line_no").select(F.to_json("run").alias("r")).first()
+    if row is None:
+        raise RunFileError(f"{path}: there is no run line")
+    return json.loads(row["r"])
+
+
+def append(evaluations: DataFrame, path: str) -> None:
+    """Adds evaluation lines to a run's folder, in as many files as there are tasks."""
+    evaluations.select(F.to_json(F.struct(*evaluations.columns)).alias("value")).write.mode("append").text(path)
+
+
+def append_line(spark: SparkSession, path: str, record: dict[str, Any]) -> None:
+    """Adds one line to a run, a folder or a local file."""
+    if os.path.isfile(path):
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(json.dumps(record, ensure_ascii=False) + "\n")
+    else:
+        spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def write(evaluations: DataFrame, path: str, run: dict[str, Any], summary: dict[str, Any] | None = None) -> None:
     """A run as JSON lines, in one part by fixture and repeat; an existing path is an error.
 

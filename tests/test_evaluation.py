@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tabscout import errors
-from tabscout.operators import evaluation, guards, reports
+from tabscout import cli, errors
+from tabscout.operators import evaluation, guards, inspection, reports, runner
 from tabscout.sources import runs
 
 
@@ -155,3 +155,126 @@ def test_evaluate_a_run(spark, tmp_path):
     runs.write(lines, str(tmp_path / "run"), {"model": "heuristic"})
     again = evaluation.summarize(runs.read(spark, str(tmp_path / "run"))["evaluations"])
     assert again["fixture_verdicts"] == {"good": "pass", "wrong": "fail: delimiter, columns", "empty": "pass", "surprise": "fail: expected_error"} and again["lines"] == 4
+
+
+EXPECTED = {"delimiter": ";", "has_header": True, "header_row_index": 0, "columns": ["id", "word"]}
+
+
+@pytest.fixture(scope="module")
+def files(spark, tmp_path_factory):
+    """A folder of four files and their manifest; the last is empty, and expected to be."""
+    folder = tmp_path_factory.mktemp("files")
+    for k in range(3):
+        (folder / f"f{k}.csv").write_text("id;word\n" + "".join(f"{n};w{n}\n" for n in range(5 + k)))
+    (folder / "none.csv").write_text("")
+    entries = [{"filename": f"f{k}.csv", "category": "plain", "expected": EXPECTED, "subsets": ["quick"] if k else []} for k in range(3)] + [{"filename": "none.csv", "category": "odd", "expected": {}, "expected_error": "EmptySampleError"}]
+    path = folder.parent / f"{folder.name}.json"
+    path.write_text(json.dumps(entries))
+    manifest = runner.load_manifest(spark, str(path))
+    return str(folder), str(path), manifest, runner.fixture_windows(spark, str(folder), manifest)
+
+
+def test_run_stops_before_the_budget(spark, files, tmp_path):
+    """Each call is planned at its worst, two models, and charged as made, one: the empty file costs nothing."""
+    _, _, manifest, windows = files
+    out = str(tmp_path / "run")
+    s = runner.run(windows, manifest, out, model="a", fallback="b", repeats=2, max_calls=5)
+    t = runs.read(spark, out)
+    assert [tuple(r) for r in t["evaluations"].orderBy("fixture", "repeat").select("fixture", "repeat").collect()] == [("f0.csv", 1), ("f0.csv", 2), ("f1.csv", 1), ("f1.csv", 2)]
+    assert "max_calls 5" in s["stopped_early"] and s["calls"] == 4 and s["fixtures_planned"] == 4 and t["summary"].count() == 1
+    whole = runner.run(windows, manifest, str(tmp_path / "whole"))
+    assert whole["stopped_early"] is None and whole["lines"] == 4 and whole["aggregate_score"] == 1.0 and whole["errored_lines"] == 0
+    with pytest.raises(Exception, match="(?i)exists"):
+        runner.run(windows, manifest, out)
+
+
+def test_rate_limited_run(spark, files, tmp_path):
+    _, _, manifest, windows = files
+    s = runner.run(windows, manifest, str(tmp_path / "slow"), per_minute=60)
+    assert s["lines"] == 4 and s["calls"] == 3
+
+
+def test_replay(spark, files, tmp_path):
+    _, _, manifest, windows = files
+    source = str(tmp_path / "source")
+    runner.run(windows, manifest, source, max_calls=2, info={"backend": "offline"})
+    s = runner.replay(windows, manifest, source, str(tmp_path / "again"))
+    assert s["replay_of"] == source and s["replay_skipped"] == 2 and s["fixtures_run"] == 2 and s["aggregate_score"] == 1.0 and s["backend"] == "offline"
+    for refused in ({"max_calls": 3}, {"per_minute": 1}, {"backend": "api"}, {"dry_run": True}):
+        with pytest.raises(ValueError, match=next(iter(refused))):
+            runner.replay(windows, manifest, source, str(tmp_path / "never"), **refused)
+    with pytest.raises(ValueError, match="windows"):
+        runner.replay(windows, manifest, source, str(tmp_path / "never"), head_bytes=17)
+    with pytest.raises(ValueError, match="none of the fixtures"):
+        runner.replay(windows, manifest.where("fixture = 'f2.csv'"), source, str(tmp_path / "never"))
+    other = runner.replay(windows, manifest, source, str(tmp_path / "other"), model="unheard-of")
+    assert other["errored_lines"] == 2  # nothing was recorded of that model
+    bare = tmp_path / "bare.jsonl"
+    bare.write_text(json.dumps({"run": {"model": "m", "n_bytes": 4096, "tail_bytes": 4096}}) + "\n")
+    with pytest.raises(errors.RunFileError, match="no recorded answers"):
+        runner.load_replay(spark, str(bare))
+
+
+def test_interrupted_runs(spark, tmp_path):
+    path = tmp_path / "cut.jsonl"
+    path.write_text("\n".join(json.dumps(x) for x in [{"run": {"model": "m", "fixtures_planned": 9}}, *LINES]) + "\n")
+    s = runner.summarize_interrupted(spark, str(path))
+    assert s["incomplete"] is True and s["stopped_early"] == "interrupted" and s["fixtures_planned"] == 9 and s["lines"] == len(LINES)
+    assert runs.load_summary(spark, str(path))["aggregate_score"] == pytest.approx(s["aggregate_score"])
+    with pytest.raises(errors.RunFileError, match="already"):
+        runner.summarize_interrupted(spark, str(path))
+    path.write_text(json.dumps(LINES[0]) + "\n")
+    with pytest.raises(errors.RunFileError, match="no run line"):
+        runner.summarize_interrupted(spark, str(path))
+
+
+def test_commands(spark, files, tmp_path, capsys):
+    folder, manifest, _, _ = files
+    common = ["--no-env-file", "--backend", "offline"]
+    assert cli.main(["run", manifest, folder, "--out", str(tmp_path / "one-{model}.jsonl"), "--subset", "quick", *common]) == 0
+    one = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert one["summary"]["fixtures_run"] == 2
+    assert cli.main(["replay", one["out"], manifest, folder, "--out", str(tmp_path / "two.jsonl"), "--no-env-file"]) == 0
+    two = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert two["summary"]["replay_skipped"] == 2 and two["summary"]["replay_of"] == one["out"]
+    assert cli.main(["replay", one["out"], manifest, folder, "--max-calls", "3"]) == 1 and "max_calls" in capsys.readouterr().err
+    assert cli.main(["compare", one["out"], two["out"]]) == 0 and "aggregate score" in capsys.readouterr().out
+    assert cli.main(["summarize", one["out"]]) == 1 and "already" in capsys.readouterr().err
+    assert cli.main(["run", manifest, folder, "--dry-run", *common]) == 0 and json.loads(capsys.readouterr().out)["files"] == 4
+    assert cli.main(["run", manifest, folder, "--name", "nosuch.csv", *common]) == 1 and "nosuch.csv" in capsys.readouterr().err
+
+
+def test_budget_prefix_over_ranges(spark):
+    """The sum goes over many ranges; ties of nothing, a file dearer than what is left ends the prefix."""
+    calls = [(k, 1 + k * 7 % 5) for k in range(1000)]
+    df = spark.createDataFrame(calls, "k long, calls long").repartition(7)
+    total, expected = 0, {}
+    for k, c in calls:
+        total += c
+        if total <= 800:
+            expected[k] = total
+    assert {r["k"]: r["used"] for r in guards.within_budget(df, 800, "k", "calls").collect()} == expected
+
+
+def test_rate_window_is_brute_force(spark):
+    rows = [(k, "hot" if k % 3 else None, 1_700_000_000 + k * k % 997) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, key string, s long").withColumn("at", F.timestamp_seconds("s"))
+    got = {r["k"]: r["n_recent"] for r in guards.rate_window(df, "key", "at", 60).collect()}
+    assert got == {k: sum(a == key and s - 60 <= x <= s for _, a, x in rows) for k, key, s in rows}
+
+
+def test_concurrent_coroutines(spark):
+    """Files of a batch are under way at once when the invoker is a coroutine function."""
+    import asyncio
+    import time
+
+    from tabscout.operators import invokers
+
+    async def slow(prompt, model):
+        await asyncio.sleep(0.5)
+        return invokers.heuristic(prompt, model)
+
+    rows = spark.createDataFrame([(k, b"id;word\n1;a\n2;b\n") for k in range(16)], "k long, content binary").coalesce(1)
+    began = time.monotonic()
+    out = inspection.inspect(spark, rows, invoker=slow).select("k", "result.delimiter", "error").collect()
+    assert len(out) == 16 and {r["delimiter"] for r in out} == {";"} and time.monotonic() - began < 6
