@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,15 +51,20 @@ class SuffixAutomaton:
             for w in words:
                 last = self._extend(last, w)
         del self._last, self._word, self._earlier
-        #: Items of the states that hold a window's sequence; short items end with a state's matches: (words, item).
-        self.items: dict[int, set[int]] = {}
+        #: Items of the states that hold a window's sequence, a number or a list; short items end with a state's matches: (words, item).
+        self.items: dict[int, int | list[int]] = {}
         self.short: dict[int, list[tuple[int, int]]] = {}
         for number, words in enumerate(items):
             state = 0
             for i, w in enumerate(words, 1):
                 state = self.next[state * self.width + w]
                 if i >= window:
-                    self.items.setdefault(self._holding(state, window), set()).add(number)
+                    at = self._holding(state, window)
+                    own = self.items.setdefault(at, number)
+                    if isinstance(own, list):
+                        own.extend([number] if own[-1] != number else ())  # numbers ascend
+                    elif own != number:
+                        self.items[at] = [own, number]
             if 0 < len(words) < window:
                 self.short.setdefault(self._holding(state, len(words)), []).append((len(words), number))
 
@@ -108,7 +113,7 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, w)
         return new
 
-    def matches(self, words: list[int]) -> Iterator[tuple[int, int, set[int]]]:
+    def matches(self, words: list[int]) -> Iterator[tuple[int, int, Sequence[int]]]:
         """(end, words, items) of each occurrence of a window; words are of one document, in order."""
         state, n = 0, 0
         for i, w in enumerate(words):
@@ -121,13 +126,14 @@ class SuffixAutomaton:
                 continue
             state, n = there, n + 1
             if n >= self.window:
-                yield i + 1, self.window, self.items[self._holding(state, self.window)]
+                found = self.items[self._holding(state, self.window)]
+                yield i + 1, self.window, found if isinstance(found, list) else (found,)
             if self.short:
                 at = state
                 while at > 0:
                     for size, number in self.short.get(at, ()):
                         if size <= n:
-                            yield i + 1, size, {number}
+                            yield i + 1, size, (number,)
                     at = self.link[at]
 
 
