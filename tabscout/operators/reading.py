@@ -7,8 +7,9 @@ import csv
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscout.functions import codecs
 from tabscout.functions.fields import python_lines
@@ -51,9 +52,9 @@ def read_rows(data: bytes, result: dict[str, Any]) -> Iterator[list[str]]:
 def read_delimited(spark: SparkSession, path: str, result: dict[str, Any]) -> DataFrame:
     """A file as a DataFrame of strings, with the result's column names.
 
-    Nothing to skip but a header, in a charset that Spark reads: its CSV reader. Lines to skip in UTF-8:
-    numbered lines of the text reader, filtered, then parsed by the CSV reader. Else the file's bytes are
-    decoded by Python on an executor.
+    Nothing to skip, in a charset that Spark reads: its CSV reader. Lines to skip in UTF-8: numbered lines,
+    filtered, then parsed by from_csv(); the file is split over tasks and its order kept without a sort. Else the
+    file's bytes are decoded by Python on an executor.
     """
     before, after = skipped(result)
     name = codecs.canonical_name(result["encoding"]) or "utf-8"
@@ -61,10 +62,11 @@ def read_delimited(spark: SparkSession, path: str, result: dict[str, Any]) -> Da
     if name in JAVA_CHARSETS and after == 0 and before == 0:
         return _named(spark.read.options(**reader_options(result)).csv(path), columns)
     if name in ("utf-8", "ascii", "utf-8-sig"):
-        numbered = spark.read.text(path, wholetext=True).select(F.posexplode(_lines("value")).alias("n", "line"), F.size(_lines("value")).alias("total"))
-        kept = numbered.where((F.col("n") >= before) & (F.col("n") < F.col("total") - after)).orderBy("n").select("line")
-        options = {k: v for k, v in reader_options(result).items() if k not in ("multiLine", "encoding")}
-        return _named(spark.read.options(**options).csv(kept.rdd.map(lambda r: r[0])), columns)
+        line = F.regexp_replace("line", "\\A\ufeff+", "")
+        kept = numbered_lines(spark, path).where((F.col("n") >= before) & (F.col("n") < F.col("total") - after)).select(F.when(F.col("n") == 0, line).otherwise(F.col("line")).alias("line"))
+        options = {k: v for k, v in reader_options(result).items() if k not in ("multiLine", "encoding", "header")}
+        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(columns))])
+        return kept.where(F.col("line").rlike(r"[^\x00-\x20]")).select(F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r")).select("r.*").toDF(*columns)
     width = len(columns)
 
     def run(batches):
@@ -79,10 +81,16 @@ def read_delimited(spark: SparkSession, path: str, result: dict[str, Any]) -> Da
     return whole.mapInPandas(run, ", ".join(f"c{k} string" for k in range(width))).toDF(*columns)
 
 
-def _lines(column: str):
-    from tabscout.functions import text
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (line, n, total) of a text file in its order: each line's number from 0, and how many there are.
 
-    return text.lines(text.without_bom(F.col(column)))
+    A split counts its lines, and the few counts give each split's first number. Both reads of the file are split alike.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("split").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    by = Window.orderBy("split")  # a row for each split of the file
+    splits = splits.select("split", "first", F.coalesce(F.sum("lines").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("lines").over(Window.partitionBy()).alias("total"))
+    return lines.join(F.broadcast(splits), "split").select("line", (F.col("before") + F.col("id") - F.col("first")).alias("n"), "total")
 
 
 def known(encoding: str) -> bool:

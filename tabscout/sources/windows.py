@@ -2,7 +2,8 @@
 
 The middle of a file is never read, which binaryFile cannot do. Paths of this machine or a mounted store
 are opened as they are; other schemes go through an opener, a callable uri -> binary file that the option
-`opener` names as "module:function". Stores that only Spark opens are read by binaryFile instead.
+`opener` names as "module:function". HDFS, S3 and GCS are listed by Spark and read by range through Arrow;
+stores that only Spark opens are read whole, by binaryFile.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +27,8 @@ from tabscout.operators.sampling import check_budget, windows_of
 
 SCHEMA = "path string, size long, head binary, tail binary, read_error string"
 FILES_A_TASK = 64
+#: Schemes of stores that Arrow opens.
+ARROW_SCHEMES = ("hdfs", "s3", "s3a", "s3n", "gs")
 
 
 def read_exactly(stream: Any, n: int) -> bytes:
@@ -139,11 +144,45 @@ class WindowsSource(DataSource):
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
+def _ranged(head_bytes: int, tail_bytes: int, offset: int):
+    """Windows of listed files (path, length), by two ranged reads each."""
+    names = ["path", "size", "head", "tail", "read_error"]
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    files, name = pa.fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+                    with files.open_input_file(name) as f:
+                        f.seek(offset)
+                        head, tail, size = stream_windows(f, head_bytes, tail_bytes)
+                    rows.append((path, size, head, tail, None))
+                except OSError as error:
+                    rows.append((path, None, None, None, f"unable to read {path!r}: {error}"))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
+
+    return run
+
+
+def listed(spark: SparkSession, path: str, head_bytes: int, tail_bytes: int, offset: int = 0) -> DataFrame:
+    """The same rows of a file, folder or glob in a store that Arrow opens. Spark lists a folder or glob, without the contents and without empty files."""
+    one = None if glob.has_magic(path) else pa.fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+    if one and one[0].get_file_info(one[1]).is_file:
+        found = spark.createDataFrame([(path,)], "path string")
+    else:
+        found = spark.read.format("binaryFile").load(path).select("path", "length")
+    return found.mapInArrow(_ranged(head_bytes, tail_bytes, offset), SCHEMA)
+
+
 def read(spark: SparkSession, path: str, head_bytes: int = C.DEFAULT_HEAD_BYTES, tail_bytes: int = C.DEFAULT_TAIL_BYTES, opener: str | None = None, offset: int = 0) -> DataFrame:
     """Windows of the files at a path, folder or glob."""
     check_budget("head_bytes", head_bytes, 1)
     check_budget("tail_bytes", tail_bytes, 0)
     if re.match(r"[a-z][a-z0-9+.-]+://", path) and not path.startswith("file:") and not opener:
+        if path.split(":")[0] in ARROW_SCHEMES:
+            return listed(spark, path, head_bytes, tail_bytes, offset)
         whole = spark.read.format("binaryFile").load(path).select("path", "content")
         return windows_of(whole, "content", head_bytes, tail_bytes).drop("content").withColumn("read_error", F.lit(None).cast("string"))
     bare = path.removeprefix("file://").removeprefix("file:")

@@ -197,6 +197,32 @@ def test_fixtures_round_trip(spark, tmp_path, name):
     assert back.columns == truth["columns"] and [tuple(r) for r in back.collect()] == [tuple(r[1:]) for r in rows]
 
 
+def test_lines_keep_their_numbers_over_splits(spark, tmp_path):
+    """A file of many splits, read without a sort: banner and footer go, all else stays in order."""
+    path = tmp_path / "long.csv"
+    path.write_text("\ufeffbanner\nid;word\n" + "".join(f"{k};w{k}\n" for k in range(40_000)) + "TOTAL;1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        r = {"encoding": "utf-8-sig", "delimiter": ";", "quotechar": '"', "escapechar": None, "doublequote": True, "has_header": True, "header_row_index": 1, "footer_rows_to_skip": 1, "columns": ["id", "word"]}
+        out = reading.read_delimited(spark, str(path), r)
+        assert out.rdd.getNumPartitions() > 5
+        assert [tuple(x) for x in out.collect()] == [(str(k), f"w{k}") for k in range(40_000)]
+        n = reading.numbered_lines(spark, str(path)).agg(F.min("n"), F.max("n"), F.max("total"), F.countDistinct("n")).first()
+        assert tuple(n) == (0, 40_002, 40_003, 40_003)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_listed_files_are_read_by_range(spark, tmp_path):
+    """As in stores that Arrow opens; the list comes from Spark, which leaves empty files out."""
+    for k, size in enumerate((0, 511, 5000)):
+        (tmp_path / f"{k}.bin").write_bytes(bytes(i % 251 for i in range(size)))
+    got = {r["path"][-5:]: (r["size"], bytes(r["head"]), bytes(r["tail"] or b""), r["read_error"]) for r in windows.listed(spark, f"file://{tmp_path}/*.bin", 512, 100).collect()}
+    data = bytes(i % 251 for i in range(5000))
+    assert got == {"1.bin": (511, data[:511], b"", None), "2.bin": (5000, data[:512], data[-100:], None)}
+    assert [tuple(r)[1:] for r in windows.listed(spark, f"file://{tmp_path}/0.bin", 512, 100).collect()] == [(0, b"", b"", None)]
+
+
 def test_read_with_python_codec(spark, tmp_path):
     path = tmp_path / "f.csv"
     path.write_bytes("# x\nnaïve;b\né;2\n".encode("cp1252"))
