@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import encodings.aliases
 import json
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -132,17 +133,17 @@ def _cyrillic(data: bytes) -> str | None:
 
 
 def _eight_bit(data: bytes) -> str:
-    """A codec for bytes that are no UTF-8. Latin letters beyond ASCII stand alone among others; those of other scripts follow each other."""
-    high = [n for n, b in enumerate(data) if b > 0x7F]
-    joined = sum(n + 1 < len(data) and data[n + 1] > 0x7F or n > 0 and data[n - 1] > 0x7F for n in high)
-    for label, reads in _DOUBLE if joined * 2 > len(high) or data.count(0x82) + data.count(0x83) > len(data) // 8 else ():
+    """A codec for bytes that are no UTF-8. Latin letters beyond ASCII stand alone or in pairs among others; those of other scripts follow each other."""
+    runs = [len(x) for x in re.findall(rb"[\x80-\xFF]+", data)]
+    high, joined = sum(runs), sum(n for n in runs if n > 2)
+    for label, reads in _DOUBLE if joined * 2 > high or data.count(0x82) + data.count(0x83) > len(data) // 8 else ():
         try:
             text = codecs.getincrementaldecoder(label)().decode(data, final=False)
         except UnicodeDecodeError:
             continue
         if reads(text, data):
             return label
-    if joined * 4 > len(high) * 3 and len(high) >= 8 and (found := _cyrillic(data)):
+    if joined * 4 > high * 3 and high >= 8 and (found := _cyrillic(data)):
         return found
     try:
         data.decode("cp1252")

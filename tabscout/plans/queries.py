@@ -442,6 +442,28 @@ def summarize_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s["incomplete"], s["stopped_early"], s["fixtures_planned"], s["fixtures_run"], s["lines"], s["errored_lines"], s["scored_lines"], round(s["aggregate_score"], 6))], "incomplete boolean, stopped_early string, planned long, fixtures long, lines long, errored long, scored long, score double")
 
 
+def tail_redetect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ASCII head of a full window before each text in Latin-1: the tail tells the codec."""
+    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(b"x,y\n" * 1024), latin).alias("content"))
+    return sampling.sample(sampling.windows_of(rows)).select("doc_id", "encoding")
+
+
+def quote_escaping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pages' quotes make of an answer with the escape character ~."""
+    e = grounding.escaping(text.quote_evidence(F.col("html"), F.lit(" "), F.lit('"')), F.lit("~"), F.lit(False))
+    return table(spark, sf_dir, "pages").select("page_id", e.alias("e")).select("page_id", "e.*")
+
+
+def one_column_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with two names over texts that no delimiter splits: the header is the line that is the first name."""
+    lines = F.slice(text.lines(F.col("text")), 1, 10)
+    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"))
+    name = F.coalesce(text.strip(F.get("l", (F.col("doc_id") % 5).cast("int"))), F.lit("nowhere"))
+    h = grounding.header(F.array(name, F.lit("other")), F.col("doc_id") % 2 == 0, (F.col("doc_id") % 7).cast("int"), F.col("l"), F.transform("l", lambda x: F.array(x)), F.lit(0))
+    return rows.select("doc_id", h.alias("h")).select("doc_id", "h.has_header", F.col("h.header_row_index").cast("long").alias("header_row_index"), F.get("h.columns", F.lit(0)).alias("name"))
+
+
 # ---------------------------------------------------------------- streaming
 
 
@@ -467,6 +489,6 @@ QUERIES = {
         inspect_rendered, ground_wrong_answers, headerless_detect, inspect_roundtrip_read, compare_results, line_count, line_bounds, trim_to_last_break, byte_windows, encoding_canonical, tail_alignment, utf8_suffix,
         delimiter_scores, delimiter_choice, split_fields_rfc4180, delimited_lines, field_shapes, rows_look_alike, positional_names, totals_labels, quote_evidence, json_payload, dialect_slips, answer_rule_violations,
         answers_parsed, prompt_sizes, dry_run_total, usage_tally, call_budget_prefix, rate_window, eval_scores_by, eval_field_scores, eval_percentiles, eval_votes, eval_verdicts, eval_verdict_changes, eval_error_classes,
-        column_recall, select_fixtures, unknown_names_anti, held_fixtures_semi, replay_join, metrics_pivot, stream_rolling_tail, repeat_statistics, line_scores, request_ids, escape_is_quote, prompt_texts, run_loop_budget, replay_run, summarize_interrupted,
+        column_recall, select_fixtures, unknown_names_anti, held_fixtures_semi, replay_join, metrics_pivot, stream_rolling_tail, repeat_statistics, line_scores, request_ids, escape_is_quote, prompt_texts, run_loop_budget, replay_run, summarize_interrupted, tail_redetect, quote_escaping, one_column_header,
     )
 }

@@ -116,5 +116,13 @@ SELECT event_id, CASE WHEN e <> q THEN e END AS escapechar, e = q AS doublequote
     "run_loop_budget": "WITH p AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS fixture, unnest([1, 2]) AS repeat FROM (SELECT DISTINCT c_nationkey FROM customer)) SELECT fixture, repeat, CAST(1 AS BIGINT) AS calls, CAST(1 AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS error FROM p ORDER BY 1, 2 LIMIT 31",
     "replay_run": "SELECT least(n, 17) AS fixtures, greatest(n - 17, 0) AS skipped, true AS named, CAST(1 AS DOUBLE) AS score FROM (SELECT count(DISTINCT c_nationkey) AS n FROM customer)",
     "summarize_interrupted": f"WITH {_RUN}, l AS (SELECT repeat, fixture, known, max(error) AS error, sum(hit::INT) / 3 AS score FROM c GROUP BY ALL) SELECT true AS incomplete, 'interrupted' AS stopped_early, CAST(60 AS BIGINT) AS planned, count(DISTINCT fixture) AS fixtures, count(*) AS lines, count(*) FILTER (WHERE error IS NOT NULL AND NOT known) AS errored, count(*) FILTER (WHERE error IS NULL AND NOT known) AS scored, round(avg(score) FILTER (WHERE error IS NULL AND NOT known), 6) AS score FROM l",
+    "tail_redetect": r"""WITH t AS (SELECT doc_id, regexp_replace(right(regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g'), 4096), '^[\x{80}-\x{BF}]{1,3}', '') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, '[^\x{00}-\x{7F}]') THEN 'cp1252' ELSE 'utf-8' END AS encoding FROM t""",
+    "quote_escaping": r"""WITH q AS (SELECT page_id, contains(html, '\"') AS b, regexp_matches(html, '[^ "\\\r\n]""') AS d, regexp_matches(html, '(?m)(?:^| )"[^"\r\n]+"(?: |\r|$)') AS q FROM pages)
+SELECT page_id, CASE WHEN b AND NOT d THEN '\' WHEN (d AND NOT b) OR (NOT b AND NOT d AND q) THEN NULL ELSE '~' END AS escapechar, d AND NOT b AS doublequote FROM q""",
+    "one_column_header": f"""WITH l AS (SELECT doc_id, {_BARE}[1:10] AS l FROM documents),
+n AS (SELECT doc_id, l, doc_id % 2 = 0 AS h, doc_id % 7 AS i, coalesce(regexp_replace(l[doc_id % 5 + 1], '^\\s+|\\s+$', '', 'g'), 'nowhere') AS name FROM l),
+p AS (SELECT *, list_position(list_transform(l, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), name) AS p FROM n),
+a AS (SELECT *, CASE WHEN p > 0 THEN p - 1 WHEN h THEN i END AS k FROM p)
+SELECT doc_id, coalesce(k < len(l), false) AS has_header, CASE WHEN k < len(l) THEN CAST(k AS BIGINT) END AS header_row_index, CASE WHEN k < len(l) THEN l[k + 1] ELSE 'column_1' END AS name FROM a""",
     "stream_rolling_tail": "WITH d AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM documents) SELECT doc_id, CAST(n AS BIGINT) AS size, md5(unhex(h[1:1024])) AS head_md5, md5(unhex(h[1025:][-512:])) AS tail_md5 FROM d",
 }
