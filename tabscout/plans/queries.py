@@ -105,8 +105,9 @@ def _order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _order_fields(spark, sf_dir).unpivot(["o_orderkey"], ["a", "b", "c", "d", "e"], "field", "value")
-    return rows.groupBy("field", text.field_shape(F.col("value")).alias("shape")).agg(F.count("*").alias("n"))
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), text.field_shape(F.col(f)).alias("shape")) for f in "abcde"))
+    rows = _order_fields(spark, sf_dir).select(F.explode(pairs).alias("p")).select("p.*")
+    return rows.groupBy("field", "shape").agg(F.count("*").alias("n"))
 
 
 def rows_look_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
