@@ -219,7 +219,7 @@ class BlockMaxIndex:
         """weights: of each term; rows, terms, counts: of each term of each example."""
         self.weights = weights
         n = len(ids)
-        values = self.unit(rows, terms, counts, n)
+        values = self.unit(rows, terms, counts, n).astype(np.float32)
         strongest, size = np.full(n, len(weights)), np.bincount(rows, minlength=n)
         if len(rows):
             order = np.lexsort((terms, -values, rows))
@@ -234,7 +234,7 @@ class BlockMaxIndex:
         often = np.flatnonzero(np.bincount(terms, minlength=len(weights)) >= max(n * DENSE, 1))
         self.column = np.full(len(weights), -1, np.int32)
         self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), n))
+        self.dense = np.zeros((len(often), n), np.float32)
         dense = self.column[terms] >= 0
         self.dense[self.column[terms[dense]], example[dense]] = values[dense]
         example, terms, values = example[~dense], terms[~dense], values[~dense]
@@ -243,11 +243,15 @@ class BlockMaxIndex:
         block = self.example // BLOCK
         cut = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         #: Segments, one for each other term and block: where its postings begin, its block and its largest weight; and the first of each term.
-        self.begin, self.block = np.append(cut, len(term)), block[cut]
-        self.largest = np.maximum.reduceat(self.value, cut) if len(cut) else np.zeros(0)
-        self.segments = np.searchsorted(term[cut], np.arange(len(weights) + 1))
+        self.begin, self.block = np.append(cut, len(term)).astype(np.int32), block[cut].astype(np.int32)
+        self.largest = np.maximum.reduceat(self.value, cut) if len(cut) else np.zeros(0, np.float32)
+        self.segments = np.searchsorted(term[cut], np.arange(len(weights) + 1)).astype(np.int32)
         self.edges = np.arange(0, n, BLOCK)
 
+    def __getstate__(self) -> dict:
+        """What tasks get: sums are of 64 bits, but weights travel with 32."""
+        return {k: v for k, v in self.__dict__.items() if k != "_wide"}
+
     def unit(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         """The weight of each term in its row's unit vector."""
         raw = (1 + np.log(counts)) * self.weights[terms]
@@ -265,7 +269,9 @@ class BlockMaxIndex:
         dense = self.column[terms] >= 0
         query = np.zeros((n, len(self.dense)))
         query[rows[dense], self.column[terms[dense]]] = values[dense]
-        out = query @ self.dense
+        if "_wide" not in self.__dict__:
+            self._wide = self.dense.astype(np.float64)
+        out = query @ self._wide
         counts = self.segments[terms + 1] - self.segments[terms]
         segment, at = _ranges(self.segments[terms], counts), np.repeat(np.arange(len(terms)), counts)
         row, block = rows[at], self.block[segment]
@@ -278,7 +284,7 @@ class BlockMaxIndex:
             s, which = segment[use], at[use]
             length = self.begin[s + 1] - self.begin[s]
             p, which = _ranges(self.begin[s], length), np.repeat(which, length)
-            out.ravel()[:] += np.bincount(rows[which] * size + self.example[p], values[which] * self.value[p], n * size)
+            out.ravel()[:] += np.bincount(rows[which] * size + self.example[p], values[which] * self.value[p].astype(np.float64), n * size)
             np.logical_or(done, chosen, out=done)
             if own is not None:
                 out[np.arange(n), own] = -1
@@ -381,6 +387,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, label_column: str
     sampled = rows.join(F.broadcast(written(sample, "sample")), "doc_id")  # at most about 2 * EXAMPLES ids
     found = _without_copies(sampled).mapInArrow(_example_terms, "doc_id long, label double, terms array<long>, counts array<long>").toArrow()
     ids, y, sizes, hashes, n = _one_each(found)
+    del found  # the driver keeps little
     at, level = _levelled(n)
     vocabulary = Vocabulary(hashes[at], level)
     at, terms = vocabulary.terms(np.searchsorted(vocabulary.words, hashes), n)
@@ -394,6 +401,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, label_column: str
         toxic = np.bincount(terms, y[row], vocabulary.size)
         weights = weights * gains(toxic, np.bincount(terms, minlength=vocabulary.size) - toxic, int(y.sum()), int(len(y) - y.sum()))
     index = BlockMaxIndex(weights, row, terms, counts, ids, y)
+    del hashes, n, at, level, told
     place = np.argsort(index.ids)  # ids ascend in `ids`
     order = np.lexsort((terms, row))
     vote, _ = index.votes(row[order], terms[order], counts[order], len(ids), place)
