@@ -87,18 +87,17 @@ def run(
         calls.charge(made)
         limiter.record(made)
         left = left.join(wave, list(ORDER), "left_anti") if max_calls is not None else left.where("false")
-    summary = evaluation.summarize(runs.read(spark, path)["evaluations"], {**settings, "stopped_early": stopped})
+    summary = evaluation.summarize(runs.evaluations(spark, path), {**settings, "stopped_early": stopped})
     runs.append_line(spark, path, {"summary": summary})
     return summary
 
 
 def summarize_interrupted(spark: SparkSession, path: str) -> dict[str, Any]:
     """Works out and appends the summary of a run that has none, marked incomplete. RunFileError if it has one, or no run line."""
-    tables = runs.read(spark, path)
-    if not tables["summary"].isEmpty():
+    if not runs.read(spark, path)["summary"].isEmpty():
         raise RunFileError(f"{path}: there is a summary already")
     settings = runs.settings(spark, path)
-    summary = evaluation.summarize(tables["evaluations"], {**settings, "stopped_early": "interrupted", "incomplete": True})
+    summary = evaluation.summarize(runs.evaluations(spark, path), {**settings, "stopped_early": "interrupted", "incomplete": True})
     runs.append_line(spark, path, {"summary": summary})
     return summary
 

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabscout.errors import RunFileError
@@ -32,26 +32,41 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, line_no, line) of the lines that are not blank; numbers count from 1."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(text.lines(F.col("value"))).alias("n", "line"))
-    return whole.where(text.strip(F.col("line")) != "").select("path", (F.col("n") + 1).alias("line_no"), "line")
+    """Rows (path, line_no, line) of the lines that are not blank; numbers count from 1.
+
+    Files are read by split, whatever their size. A split counts its lines, and the few counts give each split's first number.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = lines.groupBy("path", "split").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "split", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    filled = lines.where(F.col("line").rlike(rf"(?U)[^{text.SPACE[1:-1]}]"))
+    return filled.join(F.broadcast(splits), ["path", "split"]).select("path", (F.col("id") + F.col("shift")).alias("line_no"), "line")
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables `run`, `evaluations`, `summary` and `bad` (lines that are no JSON object) of run files."""
-    rows = numbered_lines(spark, path).withColumn("json", F.try_parse_json("line"))
+    rows = numbered_lines(spark, path)
+    # a key stands in its line as it is unless a backslash spells it, so most lines need no parser to tell that they lack it
+    own = lambda name: rows.where(F.contains("line", F.lit(f'"{name}"')) | F.contains("line", F.lit("\\"))).withColumn("json", F.try_parse_json("line"))
     kind = lambda name: F.try_variant_get("json", f"$.{name}", "variant")
-    own = rows.where(F.col("json").isNotNull())
-    evaluations = own.where(F.try_variant_get("json", "$.fixture", "string").isNotNull())
+    evaluations = own("fixture").where(F.try_variant_get("json", "$.fixture", "string").isNotNull())
     parsed = evaluations.select("path", "line_no", F.from_json("line", EVALUATION).alias("e")).select("path", "line_no", "e.*")
     return {
-        "run": own.where(kind("run").isNotNull()).select("path", "line_no", kind("run").alias("run")),
+        "run": own("run").where(kind("run").isNotNull()).select("path", "line_no", kind("run").alias("run")),
         "evaluations": parsed.withColumn("retries", F.coalesce("retries", F.lit(0))),
-        "summary": own.where(kind("summary").isNotNull()).select("path", "line_no", kind("summary").alias("summary")),
-        "bad": rows.where(F.col("json").isNull()).select("path", "line_no", "line"),
+        "summary": own("summary").where(kind("summary").isNotNull()).select("path", "line_no", kind("summary").alias("summary")),
+        "bad": rows.where(F.try_parse_json("line").isNull()).select("path", "line_no", "line"),
     }
 
 
+def evaluations(spark: SparkSession, path: str) -> DataFrame:
+    """The evaluations of a run, parsed once: a table in the shared folder, for what goes through them many times."""
+    parsed, place = read(spark, path)["evaluations"].drop("path", "line_no"), scratch(spark, "evaluations")
+    parsed.write.parquet(place)
+    return spark.read.schema(parsed.schema).parquet(place)
+
+
 def load_summary(spark: SparkSession, path: str) -> dict[str, Any]:
     """The last summary of a run file; RunFileError names a line that is no JSON."""
     tables = read(spark, path)

@@ -51,6 +51,32 @@ def test_bad_run_files(spark, tmp_path):
         runs.load_summary(spark, str(bad))
 
 
+def test_lines_of_large_run_files(spark, tmp_path):
+    """Files go over many tasks by split, and lines keep their numbers: blank ones, any breaks, several files."""
+    expected = {}
+    for name, n in (("a", 400), ("b", 3), ("c", 90)):
+        lines = ["" if k % 11 == 3 else "\u2003 " if k % 11 == 5 else json.dumps({"fixture": f"{name}é{k}", "error": "x" * (k * 37 % 101)}, ensure_ascii=False) for k in range(n)]
+        (tmp_path / f"{name}.jsonl").write_bytes("".join(x + ("\n", "\r\n", "\r")[k * k % 7 % 3] for k, x in enumerate(lines)).encode())
+        expected |= {(f"{name}.jsonl", k + 1): x for k, x in enumerate(lines) if x.strip()}
+    (tmp_path / "d.jsonl").write_text('\n{"\\u0073ummary": {"lines": 4}}')
+    small = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "50"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        t = runs.read(spark, str(tmp_path))
+        rows = runs.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8 and rows.rdd.getNumPartitions() > 8
+        got = [((r["path"].rpartition("/")[2], r["line_no"]), r["line"]) for r in rows.where("path NOT LIKE '%d.jsonl'").collect()]
+        assert len(got) == len(expected) and dict(got) == expected
+        assert {(r["path"].rpartition("/")[2], r["line_no"]) for r in t["evaluations"].collect()} == set(expected)
+        assert [(r["line_no"], r["s"]) for r in t["summary"].select("line_no", F.to_json("summary").alias("s")).collect()] == [(2, '{"lines":4}')]
+        assert runs.evaluations(spark, str(tmp_path)).count() == len(expected)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_write_and_read_again(spark, tables, tmp_path):
     _, t = tables
     out = str(tmp_path / "again")
