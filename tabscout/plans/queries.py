@@ -445,7 +445,7 @@ def summarize_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tail_redetect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ASCII head of a full window before each text in Latin-1: the tail tells the codec."""
-    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    latin = F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\xFF]", "?"), "ISO-8859-1")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(b"x,y\n" * 1024), latin).alias("content"))
     return sampling.sample(sampling.windows_of(rows)).select("doc_id", "encoding")
 

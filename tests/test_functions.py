@@ -103,6 +103,27 @@ def test_detect_scripts(label):
     assert codecs.read_windows(data, b"", False)[1] == SCRIPTS[label]
 
 
+@pytest.mark.parametrize("text", ["ééê. " * 20 + "Oian. " * 17, "treêaire étreoi, " + "ééè çéè " * 40, "nicht üäü " * 30, "ÉÈÉÈ le " * 9, "ñóñ de " * 9])
+def test_detect_repeated_words_of_accents(text):
+    """Words of accented letters only, repeated over a text, are one language's letters: no Cyrillic, Korean or Chinese."""
+    assert codecs.detect(text.encode("cp1252")) == "cp1252"
+    assert codecs.read_windows(b"x,y\n" * 1024, text.encode("cp1252"), True)[0] == "cp1252"
+
+
+def test_letter_at_the_end_of_a_tail():
+    """The last byte of a source is a letter of cp1252, but where UTF-8 stands before it a cut character."""
+    head = b"x,y\n" * 1024
+    assert codecs.read_windows(head, b"caf\xe9", True)[::2] == ("cp1252", "café")
+    assert codecs.read_windows(head, "é, café".encode()[:-1], True)[0] == "utf-8"
+    assert codecs.detect(b"caf\xe9") == "utf-8"  # a head that goes on
+
+
+@pytest.mark.parametrize("label", ["cp1251", "koi8-r"])
+@pytest.mark.parametrize("text", ["a;b\n1;нет\n2;нет\n3;нет\n", "город\nМосква\nМосква\nМосква\n", "id;кто\n1;или как\n2;папа пока\n3;мама, семь раз отмерь\n"])
+def test_detect_few_cyrillic_words(label, text):
+    assert codecs.detect(text.encode(label)) == label
+
+
 @pytest.mark.parametrize("data", [b"", b"abc", "aé漢🙂".encode(), "é".encode()[1:] + b"x", "🙂".encode()[1:] + b"x", b"\x80\x80\x80\x80", b"a\x80", "🙂".encode()[:2]])
 def test_utf8_suffix(spark, data):
     assert one(spark, bytearray(data), codecs.utf8_suffix, "binary") == codecs.is_utf8_suffix(data)

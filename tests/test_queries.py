@@ -36,6 +36,15 @@ def test_query(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == expected
 
 
+def test_tail_redetect_of_odd_texts(spark, tmp_path):
+    texts = ["nicht üäü " * 30, "ééê. " * 100, "été " * 2000, "plain", "", None, "漢字 ñ", "漢字"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["tail_redetect"](spark, str(tmp_path)).select("doc_id", "encoding").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(SQL["tail_redetect"]).fetchall())
+
+
 def test_flagship(spark):
     import __spark_entry__
 
